@@ -23,6 +23,24 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op3_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op8_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
@@ -35,5 +53,5 @@ def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op9_permutation_index, op10_tiered_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op3_classifier_chain, op6_jaccard_rtree, op8_collinear_chains, op9_permutation_index, op10_tiered_packing)}
 ORACLES: dict[str, str] = {}
