@@ -23,6 +23,24 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op2_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_report
+
+    return media_report(_table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import piece_report
+
+    return piece_report(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op7_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op3_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -53,5 +71,5 @@ def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op3_classifier_chain, op6_jaccard_rtree, op8_collinear_chains, op9_permutation_index, op10_tiered_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_chunked_media, op4_suffix_pieces, op7_trie_counts, op3_classifier_chain, op6_jaccard_rtree, op8_collinear_chains, op9_permutation_index, op10_tiered_packing)}
 ORACLES: dict[str, str] = {}
