@@ -14,11 +14,15 @@ import struct
 
 import numpy as np
 
+from .common import LOWER
+
 #: Pieces kept by each half of the store (about 200 bytes a piece).
-KEEP = 300_000
+KEEP = 500_000
 _SPECIAL_SPACE = re.compile(r"\s \s|\s \Z")
 _CONTROL = re.compile("[\x1c-\x1f]")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+#: A run of these is one pre-token of either vocabulary.
+_MARKS = ".,!?;:*$%&#|()-+=@\""
 _loaded: dict[tuple[str, str], "WordEncoder"] = {}
 
 
@@ -37,36 +41,37 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        """Put the ids of ``pieces`` in ``new``. A full stop or comma after a letter is a pre-token of its own, so such a piece needs its stem alone."""
+        """Put the ids of ``pieces`` in ``new``. ASCII marks after a letter are a pre-token of their own, so such a piece needs its stem and its marks alone."""
         new, old = self.new, self.old
         missing: set[str] = set()
-        stems: list[tuple[str, str]] = []
+        stems: list[tuple[str, str, str]] = []
+
+        def want(p: str) -> None:
+            if p not in new:
+                if (got := old.get(p)) is not None:
+                    new[p] = got
+                else:
+                    missing.add(p)
+
         for p in pieces:
-            if (got := old.get(p)) is not None:
-                new[p] = got
-            elif len(p) > 2 and p[-1] in ".," and p[-2].isalpha():
-                stem = p[:-1]
-                stems.append((p, stem))
-                if stem not in new:
-                    if (got := old.get(stem)) is not None:
-                        new[stem] = got
-                    else:
-                        missing.add(stem)
-                if p[-1] not in new:
-                    missing.add(p[-1])
+            stem = p.rstrip(_MARKS)
+            if p not in old and len(stem) < len(p) and stem[-1:].isalpha():
+                stems.append((p, stem, p[len(stem) :]))
+                want(stem)
+                want(p[len(stem) :])
             else:
-                missing.add(p)
+                want(p)
         todo = list(missing)
         for k in range(0, len(todo), 4096):
             part = todo[k : k + 4096]
             for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 new[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for p, stem in stems:
-            new[p] = new[stem] + new[p[-1]]
+        for p, stem, marks in stems:
+            new[p] = new[stem] + new[marks]
 
     def _cut(self, text: str) -> list[str] | None:
         if self.kind == "word":
-            return None if _CONTROL.search(text) else text.split()
+            return None if _CONTROL.search(text) else (text.lower() if text.isascii() else text.translate(LOWER)).split()
         if ("  " in text or "\n " in text or " \n" in text or text[-1:] == " " or _OTHER_SPACE.search(text)) and _SPECIAL_SPACE.search(text):
             return None
         first, *rest = text.split(" ")
