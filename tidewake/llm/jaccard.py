@@ -220,16 +220,20 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = _sets(b.column(1).to_pylist(), k)
-            groups = [np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for x in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(groups, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())], names=["doc_id", "point", "shingles"])
+            groups = [np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for x in _sets(b.column(1).to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(groups, pa.binary())], names=["doc_id", "data"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u8").tobytes() for x in _sets(b.column(1).to_pylist(), k)], pa.binary())], names=["doc_id", "data"])
 
     alone = classes.groupBy("block").count().where("count > 1").select("block")
     chosen = stored(classes.join(alone, "block", "left_semi"), "chosen")
-    lists = stored(docs.join(sized(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(points, "doc_id long, point binary, shingles binary"), "points")
-    coarse = tile_join(chosen.join(lists.select("doc_id", F.col("point").alias("data")), "doc_id"), "1", SLICE_POINTS, _vector_tile)
+    vectors = docs.join(sized(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(points, "doc_id long, data binary")
+    coarse = tile_join(chosen.join(stored(vectors, "points"), "doc_id"), "1", SLICE_POINTS, _vector_tile)
     finer = stored(connected_components(coarse.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "finer")
-    rows = chosen.drop("block").join(sized(finer), "doc_id").join(lists.select("doc_id", F.col("shingles").alias("data")), "doc_id")
+    lists = docs.join(sized(finer.select("doc_id")), "doc_id", "left_semi").mapInArrow(whole, "doc_id long, data binary")
+    rows = chosen.drop("block").join(sized(finer), "doc_id").join(stored(lists, "sets"), "doc_id")
     linked = stored(tile_join(rows, "n", SLICE_SHINGLES, _set_tile), "linked")
     component = connected_components(linked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("doc_id").agg(F.sum("links").alias("links"))
