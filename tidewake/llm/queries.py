@@ -35,6 +35,12 @@ def op4_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_report(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op5_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_counts import token_counts
 
@@ -71,5 +77,5 @@ def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_chunked_media, op4_suffix_pieces, op7_trie_counts, op3_classifier_chain, op6_jaccard_rtree, op8_collinear_chains, op9_permutation_index, op10_tiered_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_chunked_media, op4_suffix_pieces, op5_gated_language_model, op7_trie_counts, op3_classifier_chain, op6_jaccard_rtree, op8_collinear_chains, op9_permutation_index, op10_tiered_packing)}
 ORACLES: dict[str, str] = {}
