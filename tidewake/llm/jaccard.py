@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import shingle_hashes, sized, small_batches, stored, unique_documents, word_hashes
 from .graphs import connected_components
 
-#: Shingle groups, so coordinates of a point.
-GROUPS = 64
+#: Shingle groups: coordinates of a point in the tree, and of the finer point that bounds pairs again.
+GROUPS, FINE = 64, 1024
 #: Points of an R-tree leaf.
 LEAF = 64
 #: Points, and shingles, of a slice of a block; a tile joins two slices.
@@ -31,14 +31,14 @@ def _sets(texts: list[str], k: int) -> list[np.ndarray]:
 
 
 def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of the shingles in most documents, sorted; tasks report those that they meet three times among some millions."""
+    """Hashes of the shingles in most documents, sorted; tasks report those that they meet twice among some millions."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def report() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[c > 2].view(np.int64)), pa.array(c[c > 2])], names=["h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1])], names=["h", "c"])
 
         for b in batches:
             held.extend(_sets(b.column(1).to_pylist(), k))
@@ -51,16 +51,18 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(rows.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def bounded_pairs(vectors: np.ndarray, sizes: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+def bounded_pairs(fine: np.ndarray, sizes: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
     """(a, candidates b) of points whose overlap can reach three sevenths of their sizes' sum, that is a similarity of 0.75.
 
     A packed R-tree: points sorted by size, then by their fullest groups, in
     leaves with their largest coordinates and smallest size. The summed minima
     of two leaves' coordinates bound the overlap of any of their points; those
-    of two points bound theirs. side: only pairs of side 0 with side 1.
+    of two points bound theirs, and finer groups of the same hashes bound what
+    is left. side: only pairs of side 0 with side 1.
     """
+    vectors = fine.reshape(len(fine), GROUPS, FINE // GROUPS).sum(2, dtype=np.int32)
     order = np.lexsort((vectors.argmax(1), sizes))
-    v, n = vectors[order].astype(np.int32), sizes[order].astype(np.int64)
+    v, n = vectors[order], sizes[order].astype(np.int64)
     edges = np.arange(0, len(n), LEAF)
     top = np.maximum.reduceat(v, edges, axis=0)
     low, high = n[edges], n[np.minimum(edges + LEAF, len(n)) - 1]
@@ -78,6 +80,8 @@ def bounded_pairs(vectors: np.ndarray, sizes: np.ndarray, side: np.ndarray | Non
             if s is not None:
                 c = c[s[c] != s[i]]
             c = c[7 * np.minimum(v[c], v[i]).sum(1) >= 3 * (n[i] + n[c])]
+            if len(c):
+                c = c[7 * np.minimum(fine[order[c]], fine[order[i]]).sum(1, dtype=np.int64) >= 3 * (n[i] + n[c])]
             if len(c):
                 yield int(order[i]), order[c]
 
@@ -100,7 +104,7 @@ class _Joined:
 
 
 def _vector_tile(t: pd.DataFrame, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    points = np.frombuffer(b"".join(t["data"]), "<u4").reshape(len(t), GROUPS)
+    points = np.frombuffer(b"".join(t["data"]), "<u2").reshape(len(t), FINE)
     joined = _Joined(len(t))
     for a, b in bounded_pairs(points, t["n"].to_numpy(), side):
         joined.link(a, b)
@@ -112,8 +116,7 @@ def _set_tile(t: pd.DataFrame, side: np.ndarray | None) -> tuple[np.ndarray, np.
     flat = np.frombuffer(b"".join(t["data"]), "<u8")
     at = np.concatenate([[0], np.cumsum(sizes)])
     doc = np.repeat(np.arange(len(t)), sizes)
-    points = np.zeros((len(t), GROUPS), np.int32)
-    np.add.at(points, (doc, (flat >> np.uint64(58)).astype(np.int64)), 1)
+    points = np.bincount(doc * FINE + (flat >> np.uint64(54)).astype(np.int64), minlength=len(t) * FINE).reshape(len(t), FINE).astype(np.uint16)
     _, local = np.unique(flat, return_inverse=True)
     mark = np.zeros(int(local.max()) + 1 if len(local) else 0, np.int32)
     joined, links = _Joined(len(t)), np.zeros(len(t), np.int64)
@@ -134,13 +137,21 @@ def _set_tile(t: pd.DataFrame, side: np.ndarray | None) -> tuple[np.ndarray, np.
 def tile_join(rows: DataFrame, weight: str, capacity: int, judge: Callable) -> DataFrame:
     """(doc_id, root, links) over tiles of each block. rows: block, doc_id, n, copies, data.
 
-    A block within ``capacity`` is one tile; a larger one is dealt by hash into
-    slices, and each pair of slices is a tile of its own, in a task of bounded
-    memory. root: least document that links of the tile join a document to.
+    A block within ``capacity`` is one tile. A larger one is cut into bands of
+    sizes, so that sizes that can link are two bands apart at most, and these by
+    hash into slices within capacity; each pair of slices that can hold a link
+    is a tile of its own, in a task of bounded memory. root: least document that
+    links of the tile join a document to.
     """
-    slices = stored(rows.groupBy("block").agg(F.ceil(F.sum(F.expr(weight)) / capacity).cast("int").alias("slices")), "slices")
-    dealt = rows.join(sized(slices), "block").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    tiles = dealt.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "copies", "data").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id")
+    totals = stored(rows.groupBy("block").agg((F.sum(F.expr(weight)) > capacity).alias("large")), "totals")
+    band = F.when(F.col("large"), F.floor(F.log("n") / float(np.log(4 / 3) / 2))).otherwise(0).cast("int")
+    banded = rows.join(sized(totals), "block").withColumn("band", band)
+    bands = stored(banded.groupBy("block", "band").agg(F.ceil(F.sum(F.expr(weight)) / capacity).cast("int").alias("subs")), "bands")
+    slices = bands.select(F.col("block").alias("b"), F.col("band").alias("band2"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub2"))
+    own = banded.join(sized(bands), ["block", "band"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int"))
+    dealt = own.join(sized(stored(slices, "slices")), (F.col("block") == F.col("b")) & (F.abs(F.col("band") - F.col("band2")) <= 2))
+    one, two = F.col("band") * 1_000_000 + F.col("sub"), F.col("band2") * 1_000_000 + F.col("sub2")
+    tiles = dealt.select("block", F.least(one, two).alias("i"), F.greatest(one, two).alias("j"), one.alias("own"), "doc_id", "n", "copies", "data").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
@@ -220,7 +231,7 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            groups = [np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for x in _sets(b.column(1).to_pylist(), k)]
+            groups = [np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=FINE).astype("<u2").tobytes() for x in _sets(b.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(groups, pa.binary())], names=["doc_id", "data"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
