@@ -208,3 +208,6 @@ def e14_histogram_open_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e05_e07_group_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two grouping dimensions at once: size bins and repository."""
     return facts(spark, sf_dir, "prs").groupBy(F.expr("CASE WHEN size < 50 THEN 0 WHEN size < 150 THEN 1 ELSE 2 END").alias("lines_group"), "grp").agg(F.count("*").alias("prs"))
+
+
+from .operators import lists  # noqa: E402, F401  registers its queries
