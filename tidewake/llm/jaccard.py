@@ -20,8 +20,8 @@ GROUPS, FINE = 64, 1024
 LEAF = 64
 #: Points, and shingles, of a slice of a block; a tile joins two slices.
 SLICE_POINTS, SLICE_SHINGLES = 4096, 2_000_000
-#: Shingles seen in many documents go to the end of the common order. The table has a fixed size, and any order gives the same links.
-COMMON = 1 << 18
+#: Postings with more documents than this are all taken as equally frequent; any common order gives the same links.
+MANY = 4096
 
 
 def _sets(texts: list[str], k: int) -> list[np.ndarray]:
@@ -30,25 +30,90 @@ def _sets(texts: list[str], k: int) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(flat, np.cumsum(runs)[:-1])] if len(texts) else []
 
 
-def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of the shingles in most documents, sorted; tasks report those that they meet twice among some millions."""
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Shingles that a set of n shares, inside the prefixes, with any set that it links with."""
+    return np.maximum(1, -((-3 * n // 4) // 4))
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def report() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1])], names=["h", "c"])
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    """A quarter of a set, which a link may miss, and another quarter, of which it then finds enough."""
+    return n // 4 + np.maximum(1, -(-n // 4))
 
-        for b in batches:
-            held.extend(_sets(b.column(1).to_pylist(), k))
-            if sum(map(len, held)) > 3_000_000:
-                yield report()
-                held.clear()
-        yield report()
 
-    rows = docs.mapInArrow(local, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON)
-    return np.sort(rows.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, df, h) of the shingles in more than one prefix. batches: (h, doc_id, n) in order of h; df stops at MANY + 1."""
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+
+    def out(h: np.ndarray, d: np.ndarray, n: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+        keep = df > 1
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (d, n, df.astype(np.int32), h)], names=["doc_id", "n", "df", "h"])
+
+    def open_posting() -> Iterator[pa.RecordBatch]:
+        if held:
+            h, d, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            yield out(h, d, n, np.full(len(h), min(count, MANY + 1)))
+
+    last = None
+    for b in batches:
+        h, d, n = (b.column(i).to_numpy() for i in range(3))
+        if not len(h):
+            continue
+        if last is not None and h[0] != last:
+            yield from open_posting()
+            count = 0
+        starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+        if len(starts) > 2:
+            sizes = np.diff(starts)
+            sizes[0] += count
+            df = np.minimum(np.repeat(sizes, np.diff(starts)), MANY + 1)
+            count += int(starts[1])
+            held.append((h[: starts[1]], d[: starts[1]], n[: starts[1]]))
+            yield from open_posting()
+            yield out(*(x[starts[1] : starts[-2]] for x in (h, d, n, df)))
+            count = 0
+        tail = starts[-2]
+        held.append((h[tail:], d[tail:], n[tail:]))
+        count += len(h) - int(tail)
+        last = h[-1]
+        if count > MANY:  # its frequency is known, so that a posting of any length is passed on
+            yield from open_posting()
+    yield from open_posting()
+
+
+def rare_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n, doc_id) of all but the most frequent shingles of each prefix. batches: (doc_id, n, df, h) in order of doc_id, the frequent first.
+
+    Any linked pair shares ``least_shared`` shingles of its prefixes, so one is left of them when one fewer goes.
+    """
+    last, seen = None, 0
+    for b in batches:
+        d, n, _, h = (b.column(i).to_numpy() for i in range(4))
+        if not len(d):
+            continue
+        new = np.concatenate([[d[0] != last], d[1:] != d[:-1]])
+        at = np.arange(len(d)) - np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
+        if not new[0]:
+            at[d == d[0]] += seen
+        last, seen = d[-1], int(at[-1]) + 1
+        keep = at >= least_shared(n) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, n, d)], names=["h", "n", "doc_id"])
+
+
+def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of neighbours by size in a posting, where their sizes can link. batches: (h, n, doc_id) in that order."""
+    last = None
+    for b in batches:
+        h, n, d = (b.column(i).to_numpy() for i in range(3))
+        if not len(h):
+            continue
+        if last is not None:
+            h, n, d = (np.concatenate([[x], y]) for x, y in zip(last, (h, n, d), strict=True))
+        last = h[-1], n[-1], d[-1]
+        near = (h[1:] == h[:-1]) & (4 * n[:-1] >= 3 * n[1:])
+        pairs = np.unique(np.column_stack([np.minimum(d[1:], d[:-1])[near], np.maximum(d[1:], d[:-1])[near]]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def bounded_pairs(fine: np.ndarray, sizes: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -180,54 +245,49 @@ def tile_join(rows: DataFrame, weight: str, capacity: int, judge: Callable) -> D
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of documents linked at a similarity of 0.75 or more.
 
-    Exact on 64-bit shingle hashes. Documents that can link share a shingle in
-    the first quarter of their sets in one common order (rare ones first), so
-    they meet in a block. Within blocks, an R-tree over count vectors finds the
-    pairs that can still link; joined, they are smaller blocks, in which pairs
-    that the bound leaves are verified on whole sets. Equal sets are one point.
-    n_links counts the other documents that a document links with, copies too.
-    Null ids go and repeated ids are one document (see ``unique_documents``);
-    texts without words link with nothing; an empty table gives no rows.
+    Exact on 64-bit shingle hashes. Equal sets are one point, its least
+    document. Two sets that link miss a quarter of their shingles at most, so
+    the first halves by hash share about a fifth of their shingles or more, and
+    the rarest of each half, all but that fifth, share one: documents meet in a
+    block through rare shingles, however common their passages are. Within
+    blocks, an R-tree over count vectors finds the pairs that can still link;
+    joined, they are smaller blocks, in which pairs that the bound leaves are
+    verified on whole sets. n_links counts the other documents that a document
+    links with, copies too. Null ids go and repeated ids are one document (see
+    ``unique_documents``); texts without words link with nothing; an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = unique_documents(docs)
-    common = spark.sparkContext.broadcast(common_shingles(docs, k))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = common.value
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, out = [], [], []
-            for x in _sets(b.column(1).to_pylist(), k):
-                n.append(len(x))
-                digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                if len(late) and len(x):
-                    x = x[np.argsort(late[np.minimum(np.searchsorted(late, x), len(late) - 1)] == x, kind="stable")]
-                out.append(x[: len(x) // 4 + 1].view(np.int64))
-            at = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*out, np.empty(0, np.int64)])))], names=["doc_id", "n", "digest", "prefix"])
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_h = last_d = None
+            own = _sets(b.column(1).to_pylist(), k)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own], pa.binary())], names=["doc_id", "n", "digest"])
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(h):
-                continue
-            new = np.concatenate([[h[0] != last_h], h[1:] != h[:-1]])
-            lead = np.where(new, np.arange(len(h)), -1)
-            lead = np.maximum.accumulate(lead)
-            hub = np.where(lead >= 0, d[np.maximum(lead, 0)], -1 if last_d is None else last_d)
-            last_h, last_d = h[-1], hub[-1]
-            pairs = np.unique(np.column_stack([hub, d])[hub != d], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    sets = stored(docs.mapInArrow(prefixes, "doc_id long, n long, digest binary, prefix array<long>"), "prefixes")
+            own = _sets(b.column(1).to_pylist(), k)
+            n = np.array([len(x) for x in own], np.int64)
+            p = np.where(n > 0, prefix_length(n), 0)
+            flat = np.concatenate([*[x[:y] for x, y in zip(own, p, strict=True)], np.empty(0, np.uint64)]).view(np.int64)
+            ids = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(ids, p)), pa.array(np.repeat(n, p))], names=["h", "doc_id", "n"])
+
+    sets = stored(docs.mapInArrow(digests, "doc_id long, n long, digest binary"), "digests")
+    classes = stored(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
+    several = classes.where("copies > 1").select("digest", F.col("doc_id").alias("rep"))
+    copies = stored(sets.join(sized(several), "digest").where("doc_id <> rep").select("doc_id", "rep"), "copies")
+    classes = classes.select("doc_id", "copies", "n")
+    docs = docs.join(sized(copies.select("doc_id")), "doc_id", "left_anti")
+    seeds = docs.mapInArrow(halves, "h long, doc_id long, n long")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    seeds = sets.select(F.explode("prefix").alias("h"), "doc_id").repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(stars, "a long, b long").distinct()
-    blocks = stored(connected_components(seeds).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "blocks")
+    shared = seeds.repartition("h").sortWithinPartitions("h").mapInArrow(frequencies, "doc_id long, n long, df int, h long")
+    rare = shared.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("df"), F.desc("h")).mapInArrow(rare_part, "h long, n long, doc_id long")
+    links = rare.repartition("h").sortWithinPartitions("h", "n", "doc_id").mapInArrow(chained, "a long, b long").distinct()
+    blocks = stored(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "blocks")
     small_batches(spark)
-    members = stored(sets.select("doc_id", "n", "digest").join(sized(blocks), "doc_id"), "members")
-    classes = stored(members.groupBy("block", "digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,8 +298,7 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u8").tobytes() for x in _sets(b.column(1).to_pylist(), k)], pa.binary())], names=["doc_id", "data"])
 
-    alone = classes.groupBy("block").count().where("count > 1").select("block")
-    chosen = stored(classes.join(alone, "block", "left_semi"), "chosen")
+    chosen = stored(classes.join(sized(blocks), "doc_id"), "chosen")
     vectors = docs.join(sized(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(points, "doc_id long, data binary")
     coarse = tile_join(chosen.join(stored(vectors, "points"), "doc_id"), "1", SLICE_POINTS, _vector_tile)
     finer = stored(connected_components(coarse.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "finer")
@@ -248,9 +307,11 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     linked = stored(tile_join(rows, "n", SLICE_SHINGLES, _set_tile), "linked")
     component = connected_components(linked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    of_class = classes.join(counts, "doc_id", "left").join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("block", "digest", F.coalesce("component", "doc_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    found = members.select("doc_id", "block", "digest").join(of_class, ["block", "digest"]).select("doc_id", "component", "links")
-    return sets.select("doc_id", "n").join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    joined = counts.join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    of_class = classes.join(joined, "doc_id", "left").where("copies > 1 or component is not null")
+    told = stored(of_class.select(F.col("doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "told")
+    found = sets.select("doc_id", F.col("n").alias("n_shingles")).join(sized(copies), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(sized(told), "rep", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
