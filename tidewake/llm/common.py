@@ -62,8 +62,9 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches, so that a batch of very long texts still fits a worker."""
+    """Bound the Arrow batches in rows and bytes, so that a batch of very long texts still fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -282,7 +282,7 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     classes = classes.select("doc_id", "copies", "n")
     docs = docs.join(sized(copies.select("doc_id")), "doc_id", "left_anti")
     seeds = docs.mapInArrow(halves, "h long, doc_id long, n long")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    small_batches(spark, 65536)
     shared = seeds.repartition("h").sortWithinPartitions("h").mapInArrow(frequencies, "doc_id long, n long, df int, h long")
     rare = shared.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("df"), F.desc("h")).mapInArrow(rare_part, "h long, n long, doc_id long")
     links = rare.repartition("h").sortWithinPartitions("h", "n", "doc_id").mapInArrow(chained, "a long, b long").distinct()
