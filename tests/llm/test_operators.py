@@ -150,6 +150,19 @@ def test_repeated_passages_are_found_and_cut(docs, empty):
     assert repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize(("size", "between"), [(300, 400), (300, 150), (60, 100), (60, 180)])
+def test_own_words_between_passages_part_them(spark, size, between):
+    from tidewake.llm.passages import cut_repeats, repeated_passages
+
+    run = lambda s, n: [f"{s}{i}" for i in range(n)]
+    texts = [" ".join([*run(f"h{d}", 20), *run("p", size), *run(f"m{d}", between), *run("q", size), *run(f"t{d}", 20)]) for d in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r.doc_id, r.start_word, r.end_word, r.source_doc_id, r.source_start, r.source_end) for r in repeated_passages(docs).collect())
+    spans = [(20, 20 + size), (20 + size + between, 20 + 2 * size + between)]
+    assert found == [(1, s, e, 0, s, e) for s, e in spans]
+    assert {r.doc_id: r.text for r in cut_repeats(docs).collect()}[1].split() == [*run("h1", 20), *run("m1", between), *run("t1", 20)]
+
+
 def test_toxicity_learns_labels(spark, empty):
     from tidewake.llm.toxicity import drop_toxic, score_toxicity
 
