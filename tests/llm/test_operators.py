@@ -163,6 +163,17 @@ def test_own_words_between_passages_part_them(spark, size, between):
     assert {r.doc_id: r.text for r in cut_repeats(docs).collect()}[1].split() == [*run("h1", 20), *run("m1", between), *run("t1", 20)]
 
 
+def test_passage_whose_parts_occur_first_elsewhere(spark):
+    from tidewake.llm.passages import repeated_passages
+
+    run = lambda s, a, b: [f"{s}{i}" for i in range(a, b)]
+    parts = {d: run("p", a, b) for d, a, b in ((3, 0, 30), (4, 15, 45), (5, 30, 60), (10, 0, 60), (12, 0, 45), (20, 0, 60))}
+    texts = {d: " ".join([*run(f"h{d}", 0, 40), *w, *run(f"t{d}", 0, 40)]) for d, w in parts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = [(r.doc_id, r.start_word, r.end_word, r.source_doc_id, r.source_start, r.source_end, r.identity) for r in repeated_passages(docs).collect()]
+    assert found == [(20, 40, 100, 10, 40, 100, 1.0)]
+
+
 def test_toxicity_learns_labels(spark, empty):
     from tidewake.llm.toxicity import drop_toxic, score_toxicity
 
