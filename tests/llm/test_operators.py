@@ -174,6 +174,22 @@ def test_passage_whose_parts_occur_first_elsewhere(spark):
     assert found == [(20, 40, 100, 10, 40, 100, 1.0)]
 
 
+def test_fuzzy_passages_are_found(spark):
+    from tidewake.llm.passages import repeated_passages
+
+    run = lambda s, n: [f"{s}{i}" for i in range(n)]
+    rng, rows, want = np.random.default_rng(0), [], set()
+    for k in range(60):
+        p, size = run(f"p{k}x", 120), 60 if k % 2 else 120
+        every, share = ((8, 0), (0, 0.1), (0, 0.15))[k % 3]
+        q = [f"z{k}x{i}" if (i % every == 3 if every else rng.random() < share) else w for i, w in enumerate(p[:size])]
+        rows += [(k, " ".join([*run(f"a{k}x", 50), *p[:size], *run(f"b{k}x", 50)])), (100 + k, " ".join([*run(f"c{k}x", 40), *q, *run(f"d{k}x", 50)]))]
+        want.add((100 + k, k))
+    found = {(r.doc_id, r.source_doc_id): r for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(found) <= want and len(found) >= 57
+    assert all(35 <= r.start_word and r.end_word <= 165 and r.identity >= 0.75 for r in found.values())
+
+
 def test_toxicity_learns_labels(spark, empty):
     from tidewake.llm.toxicity import drop_toxic, score_toxicity
 
