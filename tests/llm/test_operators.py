@@ -240,6 +240,21 @@ def test_nearest_recall(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_nearest_recall_in_a_full_block(spark):
+    from tidewake.llm.ann import nearest
+
+    m = np.random.default_rng(0).normal(size=(8192, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>"), query_modulus=128).collect()
+    hits = 0
+    for q in range(0, 8192, 128):
+        score = m @ m[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    print("recall", hits / (20 * 64))
+    assert hits >= 0.95 * 20 * 64
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 

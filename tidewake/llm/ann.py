@@ -37,14 +37,15 @@ def permutations(m: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(scaled @ pivots.T), axis=1, kind="stable")[:, :prefix]
 
 
-def nearest(table: DataFrame, k: int = 20, query_modulus: int = 20, vector: str = "embedding", key: str = "vec_id", n_pivots: int = 128, prefix: int = 24, rerank: int = 1200) -> DataFrame:
+def nearest(table: DataFrame, k: int = 20, query_modulus: int = 20, vector: str = "embedding", key: str = "vec_id", n_pivots: int = 256, prefix: int = 64, rerank: int = 1200, share: float = 0.15) -> DataFrame:
     """(query_id, rank, vec_id, score): ``k`` nearest by inner product of each row whose id ``query_modulus`` divides.
 
     Vectors are ordered lists of their ``prefix`` nearest pivots. Rows are dealt
     in blocks by a hash of the id; a block posts its rows in one inverted file a
     pivot, sums the footrule distance of each query over the query's postings
-    (a pivot outside a prefix counts as ``prefix``), and takes the ``rerank``
-    nearest of the block, ties to smaller ids, to the exact measure. Queries go
+    (a pivot outside a prefix counts as ``prefix``), and takes the
+    nearest ``share`` of the block, ``rerank`` at least and ties to smaller ids,
+    to the exact measure. Queries go
     to blocks in chunks; each block keeps ``k`` a query. Vectors of another
     length than the pivots' take no part. Copies tie, and smaller ids come
     first. With no usable vector the result is empty.
@@ -82,7 +83,7 @@ def nearest(table: DataFrame, k: int = 20, query_modulus: int = 20, vector: str
                 mine = np.searchsorted(ids, qid)
                 if mine < len(ids) and ids[mine] == qid:
                     gain[mine] = -1
-                pick = np.argsort(-gain, kind="stable")[:rerank]
+                pick = np.argsort(-gain, kind="stable")[: max(rerank, int(np.ceil(share * len(b))))]
                 pick = pick[gain[pick] >= 0]
                 score = vb[pick] @ v
                 best = np.lexsort((ids[pick], -score))[:k]
