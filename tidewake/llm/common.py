@@ -61,6 +61,12 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def anti_join(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns as they are, whose doc_id is not in the stored column of ``ids``; rows without doc_id stay."""
+    name = f"gone_{uuid.uuid4().hex}"  # no column of docs has it
+    return docs.join(sized(ids.toDF(name)), F.col("doc_id") == F.col(name), "left_anti")
+
+
 def small_batches(spark: SparkSession, rows: int = 512, size: str = "2m") -> None:
     """Bound the Arrow batches in rows and bytes, so that a batch of very long texts still fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, sized, small_batches, stored, unique_documents, word_hashes
+from .common import anti_join, shingle_hashes, sized, small_batches, stored, unique_documents, word_hashes
 from .graphs import connected_components
 
 #: Shingle groups: coordinates of a point in the tree, and of the finer point that bounds pairs again.
@@ -317,4 +317,4 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents with the smallest id of each component, with all their columns; rows that repeat an id stay together, rows without id stay."""
     gone = stored(jaccard_components(docs).where("component_id <> doc_id").select("doc_id"), "near-copies")
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    return anti_join(docs, gone)

@@ -77,13 +77,16 @@ def pack_lengths(items: list[tuple[int, int, int]], final: bool) -> tuple[list[l
 
 
 def step_groups(sequences: list[list[tuple[int, int, int]]]) -> np.ndarray:
-    """A group for each sequence; dealt in turns by falling attention cost, so that groups of a pool weigh about the same."""
-    n = len(sequences)
-    groups = max(1, -(-n // STEP))
+    """A group for each sequence, of one tier alone; dealt in turns by falling attention cost, so that a tier's groups of a pool weigh about the same."""
+    tiers = np.array([tier_of(sum(x[2] for x in s)) for s in sequences])
     cost = np.array([sum(x[2] ** 2 for x in s) for s in sequences])
-    turn, place = np.divmod(np.arange(n), groups)
-    out = np.empty(n, np.int64)
-    out[np.argsort(-cost, kind="stable")] = np.where(turn % 2, groups - 1 - place, place)
+    out, before = np.empty(len(sequences), np.int64), 0
+    for t in TIERS:
+        own = np.flatnonzero(tiers == t)
+        groups = -(-len(own) // STEP)
+        turn, place = np.divmod(np.arange(len(own)), max(1, groups))
+        out[own[np.argsort(-cost[own], kind="stable")]] = before + np.where(turn % 2, groups - 1 - place, place)
+        before += groups
     return out
 
 
@@ -92,7 +95,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFra
 
     No shuffle: a task keeps a pool of about a million tokens, and what fills no
     window goes on to its next pool. Each row is packed on its own: null ids and
-    repeated rows too. An empty table gives no rows.
+    repeated rows too. A text of any length is cut into windows, the rest of it
+    packed with others'. Equal lengths keep the order of rows. An empty table
+    gives no rows.
     """
     small_batches(docs.sparkSession)
 
@@ -111,15 +116,16 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFra
             nonlocal left, new, made, groups, pooled
             sequences, left = pack_lengths(left + new, final)
             new, pooled = [], 0
+            dealt = step_groups(sequences)
             rows: list[tuple] = []
-            for k, (window, group) in enumerate(zip(sequences, step_groups(sequences) if sequences else (), strict=True)):
+            for k, (window, group) in enumerate(zip(sequences, dealt, strict=True)):
                 offset, tier = 0, tier_of(sum(x[2] for x in window))
                 for d, s, n in window:
                     doc, raw = ids[d]
                     rows.append((doc, s, n, raw[4 * s : 4 * (s + n)], len(raw) // 4, base + made + k, offset, tier, base + groups + int(group)))
                     offset += n
             made += len(sequences)
-            groups += -(-len(sequences) // STEP)
+            groups += int(dealt.max()) + 1 if len(dealt) else 0
             keep = {d for _, d, _ in left}
             for d in [d for d in ids if d not in keep]:
                 del ids[d]
