@@ -71,9 +71,10 @@ def test_media_payloads(docs, empty, spark):
 
     from tidewake.llm.media import media_report, payload_of
 
-    extra = docs.unionByName(docs.limit(3)).withColumn("payload_bytes", docs.n_chars)
-    got = {r.doc_id: r for r in media_report(extra).collect()}
-    assert len(got) == len(TEXTS)
+    extra = docs.unionByName(docs.where("doc_id < 3")).withColumn("payload_bytes", docs.n_chars)
+    rows = media_report(extra).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(got) == len(TEXTS) and len(rows) == extra.count()
     for d, t in enumerate(TEXTS):
         p, n = payload_of(t)
         assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256) == (n, len(p), hashlib.sha256(p).hexdigest())
@@ -82,6 +83,33 @@ def test_media_payloads(docs, empty, spark):
     assert media_report(empty).count() == 0
 
 
+def test_media_rows_chunks_and_features(spark):
+    """No row is lost; shared chunks are kept once and payloads still read back whole; features by plain loops."""
+    import hashlib
+
+    from tidewake.llm.common import identified_rows, stored
+    from tidewake.llm.media import FRAME, LARGEST, LEAST, cut_points, media_report, payload_of, store_media
+
+    rng = np.random.default_rng(3)
+    block = bytes(rng.integers(97, 122, 60_000).astype(np.uint8)).decode()
+    texts = [(1, block), (1, block + " changed"), (None, "no id"), (None, None), (2, "head " + block), (3, block), (4, "a"), (5, "a "), (6, "x" * 90_000), (None, block)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id long, text string, seq int").repartition(3)
+    got = media_report(docs).collect()
+    want = []
+    for i, t in texts:
+        p, n = payload_of(t)
+        x = np.frombuffer(p, np.uint8).astype(float)
+        blank = np.mean([set(p[k : k + FRAME]) == {32} for k in range(0, len(p), FRAME)])
+        feature = f"mean={sum(x) / len(x):.4f};rms={np.sqrt(sum(x * x) / len(x)):.4f};step={np.abs(x[1:] - x[:-1]).mean():.4f};blank={blank:.4f}"
+        cut = [0, *cut_points([p])[0]]
+        assert cut[-1] == len(p) and all(LEAST <= b - a <= LARGEST for a, b in zip(cut[:-2], cut[1:-1], strict=True))
+        recipe = b"".join(hashlib.sha256(p[a:b]).digest() + (b - a).to_bytes(4, "little") for a, b in zip(cut[:-1], cut[1:], strict=True))
+        want.append((i or -1, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(recipe) + len(p), hashlib.sha256(recipe + p).hexdigest(), feature))
+    assert sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in got) == sorted(want)
+    store, _, _ = store_media(stored(identified_rows(docs)[0], "rows"))
+    assert sum(len(r.data) for r in store.collect()) < 60_000 + 90_000 + 3 * LARGEST
+
+
 def test_pieces_equal_the_library(docs, empty):
     import sentencepiece
 

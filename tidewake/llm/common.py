@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a stored side may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a stored side may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 24 << 20
 #: ASCII lower-casing only, as the word contracts ask.
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: A word of the contracts: a run without ASCII white space.
@@ -56,9 +56,10 @@ def drop_scratch(spark: SparkSession, unless_read_by: DataFrame | None = None) -
             _made.remove(path)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a stored table: counting reads footers) with a broadcast hint if it has ``rows`` rows at most."""
-    return F.broadcast(df) if df.count() <= rows else df
+def sized(df: DataFrame, row_bytes: str = "48") -> DataFrame:
+    """``df`` (a stored table) with a broadcast hint if its rows, of ``row_bytes`` each (an SQL expression), are small enough together; else the join shuffles."""
+    total = df.agg(F.sum(F.expr(row_bytes).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def anti_join(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -78,22 +79,48 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """The stored doc_ids that several rows have; none if there are none. Ids alone are read."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return None if again.isEmpty() else stored(again, "repeated-ids")
+
+
 def unique_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with one row per document, null text as empty.
 
     Rows without doc_id have no identity and go. Rows that repeat a doc_id are
-    one document: the smallest of their texts stays. Ids alone are read to see
-    whether there are any; texts are shuffled only for repeated ids.
+    one document: the smallest of their texts stays. Texts are shuffled only for
+    repeated ids.
     """
     docs = only(docs, "doc_id", "text").where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
-    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
+    again = repeated_ids(docs)
+    if again is None:
         return docs
-    again = sized(stored(again, "repeated-ids"))
+    again = sized(again)
     merged = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     return docs.join(again, "doc_id", "left_anti").unionByName(merged)
 
 
+def identified_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((rid, text) of distinct rid, (doc_id, rid) of the rows whose doc_id is null or repeated, or none).
+
+    A row with an id of its own goes by it; of the others each distinct text
+    goes once, by its digest. So no row is lost, and texts are shuffled only for
+    the others.
+    """
+    docs = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    again = repeated_ids(docs)
+    if again is None and docs.where("doc_id is null").isEmpty():
+        return docs.select(F.col("doc_id").cast("string").alias("rid"), "text"), None
+    digest = F.concat(F.lit("t"), F.sha2("text", 256)).alias("rid")
+    own, odd = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    if again is not None:
+        odd = odd.unionByName(own.join(sized(again), "doc_id", "left_semi"))
+        own = own.join(sized(again), "doc_id", "left_anti")
+    texts = odd.select(digest, "text").groupBy("rid").agg(F.min("text").alias("text"))
+    return own.select(F.col("doc_id").cast("string").alias("rid"), "text").unionByName(texts), odd.select("doc_id", digest)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, a public bijection of 64-bit integers."""
     with np.errstate(over="ignore"):
