@@ -14,7 +14,7 @@ from .common import LOWER, only, small_batches, stored
 
 #: Labelled rows that the models learn from, about and at most in the mean (taken by a hash of doc_id).
 FIT_ROWS = 12_000
-BITS = 20
+BITS = 18
 FOLDS = 5
 #: Kinds that labelled toxic rows are parted into.
 KINDS = 2
@@ -173,14 +173,23 @@ def fit_models(docs: DataFrame, labels: DataFrame) -> tuple[list[Linear], float]
     taught = stored(taught.mapInArrow(featurize, "doc_id long, toxic int, quality int, ids binary").groupBy("doc_id").agg(F.min(F.struct("ids", "toxic", "quality")).alias("r")).select("doc_id", "r.*"), "taught")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sorted((d, t, q, np.frombuffer(i, "<i4")) for b in batches for d, i, t, q in zip(*[c.to_pylist() for c in b.columns], strict=True))
-        toxic = np.array([t > 0 for _, t, _, _ in held], bool)
+        held = sorted((d, t > 0, q is not None and q == 0, i) for b in batches for d, i, t, q in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        toxic, low = (np.array([r[k] for r in held], bool) for k in (1, 2))
         if not toxic.any():
             return
-        rows = Rows([i for *_, i in held])
+        counts = np.zeros((3, 1 << BITS), np.float32)  # of all, toxic and low rows with a feature
+        for _, t, q, i in held:
+            ids = np.frombuffer(i, "<i4")
+            counts[0, ids] += 1
+            counts[1, ids] += t
+            counts[2, ids] += q
+        may = [np.abs(counts[k] - counts[0] * y.mean()) >= (STANDS_OUT - 1) * np.sqrt(counts[0] * y.mean() * (1 - y.mean())) for k, y in ((1, toxic), (2, low))]
+        may = (may[0] | may[1]) & (counts[0] > 0)
+        may = may if may.any() else counts[0] > 0
+        rows = Rows([ids[may[ids]] for ids in (np.frombuffer(r[3], "<i4") for r in held)])
+        del held, counts
         kinds = kinds_of(rows, toxic)
-        targets = np.column_stack([np.array([q is not None and q == 0 for _, _, q, _ in held]), *[kinds == k for k in range(KINDS)], toxic]).astype(float)
-        models, threshold = fit_chain(rows, targets)
+        models, threshold = fit_chain(rows, np.column_stack([low, *[kinds == k for k in range(KINDS)], toxic]).astype(float))
         yield pa.RecordBatch.from_arrays([pa.array([m.features.tobytes() for m in models], pa.binary()), pa.array([m.w.tobytes() for m in models], pa.binary()), pa.array([threshold] * len(models))], names=["features", "weights", "threshold"])
 
     told = taught.coalesce(1).mapInArrow(fit, "features binary, weights binary, threshold double").collect()
