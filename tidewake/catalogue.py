@@ -9,50 +9,53 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.aggregates import cut_outliers
-from .functions.intervals import binned, interval_rows, intervals, overlapping, split
-from .operators.metrics import METRICS, SAMPLES, Metric, compute
+from .functions.intervals import binned, bucket, interval_rows, spread, split
+from .operators.metrics import METRICS, SAMPLES, ZERO, Metric, compute
 from .plans import facts as plans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Quarters over the warehouse's dates, and weeks over the events'.
-QUARTERS = split("3 month", dt.date(1992, 1, 1), dt.date(2001, 12, 31))
+QUARTERS = split("3 month", dt.date(1992, 1, 1), dt.date(2002, 12, 31))
 EVENT_SPANS = split("month", dt.date(2023, 1, 1), dt.date(2025, 12, 31))
-BOUNDS = {"prs": QUARTERS, "releases": QUARTERS, "issues": QUARTERS, "checks": EVENT_SPANS, "deployments": EVENT_SPANS, "actions": EVENT_SPANS}
+BOUNDS = {"prs": QUARTERS, "releases": QUARTERS, "issues": QUARTERS, "checks": EVENT_SPANS, "deployments": EVENT_SPANS, "actions": EVENT_SPANS, "commits": EVENT_SPANS}
 
 
 def facts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return plans.BUILD[name](spark, sf_dir)
 
 
-def steps(spark: SparkSession, name: str) -> DataFrame:
-    return intervals(spark, BOUNDS[name])
+def steps(name: str) -> list[dt.date]:
+    """Boundaries of the intervals that the facts ``name`` are binned in."""
+    return BOUNDS[name]
 
 
-def with_sql(name: str, body: str) -> str:
-    """``body`` with the SQL fact tables that ``name`` needs, and its intervals as ``steps``."""
+def with_sql(name: str, body: str, tables: str = "") -> str:
+    """``body`` with the SQL fact tables that ``name`` needs, its intervals as ``steps``, and more tables of its own."""
     rows = ", ".join(f"({i}, {a}, {b})" for i, a, b in interval_rows(BOUNDS[name]))
-    return "WITH " + ",\n".join(plans.SQL[n] for n in plans.NEEDS[name]) + f",\nsteps(idx, ts_from, ts_to) AS (VALUES {rows})\n{body}"
+    return "WITH RECURSIVE " + ",\n".join(plans.SQL[n] for n in plans.NEEDS[name]) + f",\nsteps(idx, ts_from, ts_to) AS (VALUES {rows})" + (f",\n{tables}" if tables else "") + f"\n{body}"
 
 
 def _metric_query(row: str, metrics: dict[str, Metric]) -> None:
     name = next(iter(metrics.values())).facts
-    time = next(iter(metrics.values())).time
-    QUERIES[row] = lambda spark, sf_dir: compute(facts(spark, sf_dir, name), steps(spark, name), metrics)
-    ORACLES[row] = with_sql(name, f"SELECT grp, idx, {', '.join(f'{m.sql()} AS {n}' for n, m in metrics.items())} FROM {name} JOIN steps ON ({time}) >= ts_from AND ({time}) < ts_to GROUP BY ALL")
+    QUERIES[row] = lambda spark, sf_dir: compute(facts(spark, sf_dir, name), steps(name), metrics)
+    parts = "".join(f" LEFT JOIN (SELECT grp, idx, {m.sql()} AS {n} FROM {name} JOIN steps ON ({m.time}) >= ts_from AND ({m.time}) < ts_to GROUP BY ALL) AS part_{n} USING (grp, idx)" for n, m in metrics.items())
+    known = " UNION ".join(f"SELECT grp FROM {name} JOIN steps ON ({m.time}) >= ts_from AND ({m.time}) < ts_to" for m in metrics.values())
+    told = ", ".join(f"coalesce({n}, 0) AS {n}" if m.kind in ZERO else n for n, m in metrics.items())
+    ORACLES[row] = with_sql(name, f"SELECT grp, idx, {told} FROM (SELECT DISTINCT grp FROM ({known})) CROSS JOIN (SELECT idx FROM steps){parts}")
 
 
 for _row, _metrics in METRICS.items():
     _metric_query(_row, _metrics)
 
 
-def query(name: str, body: str | None) -> Callable:
+def query(name: str, body: str | None, tables: str = "") -> Callable:
     """Register a query over the facts ``name`` with its SQL."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
         if body:
-            ORACLES[f.__name__] = with_sql(name, body)
+            ORACLES[f.__name__] = with_sql(name, body, tables)
         return f
 
     return add
@@ -63,7 +66,7 @@ def _cut_query(row: str, sample: str) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = facts(spark, sf_dir, "prs").select("grp", F.expr(s).alias("sample"), F.expr(t).alias("at"))
-        return binned(cut_outliers(rows, ["grp"], "at", "sample", 0.0, 0.95), steps(spark, "prs"), "at").groupBy("grp", "idx").agg(F.count("*").alias("value"))
+        return binned(cut_outliers(rows, ["grp"], "at", "sample", 0.0, 0.95), steps("prs"), "at").groupBy("grp", "idx").agg(F.count("*").alias("value"))
 
     QUERIES[row] = run
     ORACLES[row] = with_sql("prs", f"""SELECT grp, idx, count(*) AS value FROM (
@@ -83,7 +86,7 @@ for _row, _sample in (("p02q_pr_wip_count_q", "wip"), ("p05q_pr_review_count_q",
 def flagship_nation_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opened, closed, flow ratio (P33) and mean open time per repository and quarter: two additive events a request, one grouping."""
     rows = facts(spark, sf_dir, "prs").select("grp", "created", "closed").selectExpr("grp", "stack(2, created, 1, 0, 0L, closed, 0, 1, closed - created) as (at, o, c, s)")
-    cells = binned(rows, steps(spark, "prs"), "at").groupBy("grp", "idx").agg(F.sum("o").alias("opened"), F.sum("c").alias("closed"), F.sum("s").alias("s"))
+    cells = binned(rows, steps("prs"), "at").groupBy("grp", "idx").agg(F.sum("o").alias("opened"), F.sum("c").alias("closed"), F.sum("s").alias("s"))
     return cells.select("grp", "idx", "opened", "closed", F.round((F.col("opened") + 1.0) / (F.col("closed") + 1.0), 9).alias("flow_ratio"), F.when(F.col("closed") > 0, F.col("s") / F.col("closed")).cast("bigint").alias("open_time"))
 
 
@@ -91,7 +94,9 @@ _ALIVE = "created < ts_to AND (released >= ts_from OR closed >= ts_from OR close
 
 
 def _alive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir, "prs").join(F.broadcast(steps(spark, "prs")), F.expr(_ALIVE))
+    """Requests with each interval that their life overlaps: to the last one while open, or merged and unreleased."""
+    end = "CASE WHEN closed IS NOT NULL AND NOT (merged IS NOT NULL AND released IS NULL) THEN greatest(released, closed) END"
+    return spread(facts(spark, sf_dir, "prs"), steps("prs"), "created", end)
 
 
 @query("prs", f"""SELECT grp, idx, count(*) AS alive, count(CASE WHEN n_issues > 0 THEN 1 END) AS mapped, round(avg(participants), 6) AS participants_per, round(avg(nullif(n_reviews, 0)), 6) AS reviews_per, round(avg(nullif(regular_comments + n_reviews, 0)), 6) AS comments_per,
@@ -114,7 +119,7 @@ def p20_p36_p42_pr_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c01_c05_c14_chk_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suites (C01: the first run speaks for its suite), counts C02-C04, time C05 and occupancy C14."""
     suites = facts(spark, sf_dir, "checks").groupBy("grp", "suite").agg(F.min("started").alias("s"), F.max("completed").alias("e"), F.min_by("ok", "event_id").alias("ok"), F.min(F.when(F.col("pr").isNotNull(), F.struct("event_id", "pr"))).alias("p"), F.count("*").alias("n"), F.sum(F.col("completed") - F.col("started")).alias("busy"))
-    cells = binned(suites.withColumn("pr", F.col("p.pr")), steps(spark, "checks"), "s").groupBy("grp", "idx")
+    cells = binned(suites.withColumn("pr", F.col("p.pr")), steps("checks"), "s").groupBy("grp", "idx")
     good = F.count(F.when(F.col("ok"), 1))
     return cells.agg(F.count("*").alias("suites"), F.count("pr").alias("in_prs"), good.alias("successful"), F.round(good / F.count("*"), 9).alias("success_ratio"), (F.sum(F.expr("e - s")) / F.count("*")).cast("bigint").alias("suite_time"), F.round(F.avg(F.expr("CASE WHEN n > 1 AND e > s THEN busy / (n * (e - s)) END")), 6).alias("occupancy"))
 
@@ -123,7 +128,7 @@ def c01_c05_c14_chk_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c09_chk_flaky_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits with a check that both succeeded and failed, dated by their first run."""
     both = facts(spark, sf_dir, "checks").groupBy("grp", "commit").agg(F.min("started").alias("s"), F.bool_or("ok").alias("a"), F.bool_or(F.expr("NOT ok")).alias("b")).where("a and b")
-    return binned(both, steps(spark, "checks"), "s").groupBy("grp", "idx").agg(F.count("*").alias("flaky_commits"))
+    return binned(both, steps("checks"), "s").groupBy("grp", "idx").agg(F.count("*").alias("flaky_commits"))
 
 
 @query("checks", """SELECT event_id, round(sum(least(ae, be) - greatest(a_s, b_s)) / max(ae - a_s), 6) AS concurrency FROM (
@@ -147,7 +152,7 @@ def c11_chk_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("deployments", "SELECT grp, idx, round(count(CASE WHEN conclusion = 'SUCCESS' THEN 1 END) / count(*), 9) AS success_ratio, count(CASE WHEN conclusion = 'SUCCESS' AND failure_label THEN 1 END) AS change_failures, round(count(CASE WHEN conclusion = 'SUCCESS' AND failure_label THEN 1 END) / nullif(count(CASE WHEN conclusion = 'SUCCESS' THEN 1 END), 0), 9) AS failure_ratio FROM deployments JOIN steps ON finished >= ts_from AND finished < ts_to GROUP BY ALL")
 def d03_d04_dep_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = F.count(F.expr("CASE WHEN conclusion = 'SUCCESS' THEN 1 END")), F.count(F.expr("CASE WHEN conclusion = 'SUCCESS' AND failure_label THEN 1 END"))
-    return binned(facts(spark, sf_dir, "deployments"), steps(spark, "deployments"), "finished").groupBy("grp", "idx").agg(F.round(good / F.count("*"), 9).alias("success_ratio"), bad.alias("change_failures"), F.round(bad / F.nullif(good, F.lit(0)), 9).alias("failure_ratio"))
+    return binned(facts(spark, sf_dir, "deployments"), steps("deployments"), "finished").groupBy("grp", "idx").agg(F.round(good / F.count("*"), 9).alias("success_ratio"), bad.alias("change_failures"), F.round(bad / F.nullif(good, F.lit(0)), 9).alias("failure_ratio"))
 
 
 @query("deployments", "SELECT env, count(*) AS deployments, arg_max(conclusion, event_id) AS latest, count(DISTINCT repo) AS repositories FROM deployments GROUP BY ALL")
@@ -165,7 +170,9 @@ def q17_latest_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("issues", f"SELECT grp, idx, count(*) AS still_open FROM (SELECT *, CASE WHEN prs_began IS NOT NULL THEN CASE WHEN prs_released IS NOT NULL AND resolved IS NOT NULL THEN greatest(prs_released, resolved) END ELSE resolved END AS fixed FROM issues) JOIN steps ON created < ts_to AND (fixed IS NULL OR fixed >= ts_to) GROUP BY ALL")
 def j03_jira_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = "CASE WHEN prs_began IS NOT NULL THEN CASE WHEN prs_released IS NOT NULL AND resolved IS NOT NULL THEN greatest(prs_released, resolved) END ELSE resolved END"
-    rows = facts(spark, sf_dir, "issues").withColumn("fixed", F.expr(fixed)).join(F.broadcast(steps(spark, "issues")), F.expr("created < ts_to AND (fixed IS NULL OR fixed >= ts_to)"))
+    rows = spread(facts(spark, sf_dir, "issues").withColumn("fixed", F.expr(fixed)), steps("issues"), "created", "fixed")
+    ends = F.array(*[F.lit(b) for _, _, b in interval_rows(steps("issues"))])
+    rows = rows.where(F.col("fixed").isNull() | (F.col("fixed") >= F.element_at(ends, F.col("idx") + 1)))
     return rows.groupBy("grp", "idx").agg(F.count("*").alias("still_open"))
 
 
@@ -173,7 +180,7 @@ def j03_jira_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v07_dev_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active: commits on more than a fifth of the interval's days."""
     days = F.countDistinct(F.expr("CASE WHEN topic = 'click' THEN started div 86400 END"))
-    return binned(facts(spark, sf_dir, "actions"), steps(spark, "actions"), "started").groupBy("user_id", "idx", "ts_from", "ts_to").agg(days.alias("days")).select("user_id", "idx", F.expr("days * 5 > (ts_to - ts_from) div 86400").alias("active"))
+    return binned(facts(spark, sf_dir, "actions"), steps("actions"), "started").groupBy("user_id", "idx", "ts_from", "ts_to").agg(days.alias("days")).select("user_id", "idx", F.expr("days * 5 > (ts_to - ts_from) div 86400").alias("active"))
 
 
 @query("actions", "SELECT user_id, count(CASE WHEN topic = 'click' THEN 1 END) AS committer, count(CASE WHEN topic = 'view' THEN 1 END) AS reviewer, count(CASE WHEN topic = 'signup' THEN 1 END) AS author, count(CASE WHEN topic = 'purchase' THEN 1 END) AS releaser, count(CASE WHEN topic = 'error' THEN 1 END) AS commenter FROM actions GROUP BY 1")
@@ -204,10 +211,10 @@ def e14_histogram_open_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir, "prs").where("closed is not null").select(F.floor(s / 864000).cast("bigint").alias("bin")).groupBy("bin").agg(F.count("*").alias("frequency"))
 
 
-@query("prs", "SELECT CASE WHEN size < 50 THEN 0 WHEN size < 150 THEN 1 ELSE 2 END AS lines_group, grp, count(*) AS prs FROM prs GROUP BY ALL")
+@query("prs", "SELECT g AS lines_group, grp, count(*) AS prs FROM prs JOIN (VALUES (0, 20, 50), (1, 50, 100), (2, 100, 150)) AS v(g, a, b) ON size >= a AND size < b GROUP BY ALL")
 def e05_e07_group_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two grouping dimensions at once: size bins and repository."""
-    return facts(spark, sf_dir, "prs").groupBy(F.expr("CASE WHEN size < 50 THEN 0 WHEN size < 150 THEN 1 ELSE 2 END").alias("lines_group"), "grp").agg(F.count("*").alias("prs"))
+    """Two grouping dimensions at once: size bins [20, 50), [50, 100), [100, 150), with what lies outside left out, and repository."""
+    return facts(spark, sf_dir, "prs").withColumn("lines_group", bucket(F.col("size"), [20, 50, 100, 150])).where("lines_group is not null").groupBy("lines_group", "grp").agg(F.count("*").alias("prs"))
 
 
-from .operators import lists  # noqa: E402, F401  registers its queries
+from .operators import history, lists  # noqa: E402, F401  they register their queries

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,12 +49,37 @@ def intervals(spark: SparkSession, bounds: list[dt.date]) -> DataFrame:
     return spark.createDataFrame(interval_rows(bounds), "idx int, ts_from long, ts_to long")
 
 
-def binned(facts: DataFrame, steps: DataFrame, time: str) -> DataFrame:
-    """Facts with the interval [from, to) that holds their event time; facts without one go."""
-    t = F.expr(time)
-    return facts.join(F.broadcast(steps), (t >= F.col("ts_from")) & (t < F.col("ts_to")))
+def bucket(time: Column, marks: list[int]) -> Column:
+    """Place of the interval [marks[i], marks[i + 1]) that holds ``time``, by a tree of comparisons; null outside."""
 
+    def tree(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(time < marks[mid], tree(lo, mid)).otherwise(tree(mid, hi))
 
-def overlapping(facts: DataFrame, steps: DataFrame, begin: str, end: str) -> DataFrame:
-    """Facts with each interval that their life overlaps; a null end is still open."""
-    return facts.join(F.broadcast(steps), (F.expr(begin) < F.col("ts_to")) & (F.expr(end).isNull() | (F.expr(end) >= F.col("ts_from"))))
+    return F.when((time >= marks[0]) & (time < marks[-1]), tree(0, len(marks) - 1))
+
+
+def binned(facts: DataFrame, bounds: list[dt.date], time: str) -> DataFrame:
+    """Facts with ``idx``, ``ts_from`` and ``ts_to`` of the interval that holds their event time; facts without one go. No join."""
+    marks = [seconds(d) for d in bounds]
+    at = F.array(*[F.lit(m) for m in marks])
+    rows = facts.withColumn("idx", bucket(F.expr(time).cast("bigint"), marks)).where("idx is not null")
+    return rows.withColumn("ts_from", F.element_at(at, F.col("idx") + 1)).withColumn("ts_to", F.element_at(at, F.col("idx") + 2))
+
+
+def spread(facts: DataFrame, bounds: list[dt.date], begin: str, end: str) -> DataFrame:
+    """A row of ``facts`` for each interval from the one that holds ``begin`` to the one that holds ``end`` (null: still open), with ``idx``."""
+    marks = [seconds(d) for d in bounds]
+    a, b, last = F.expr(begin), F.expr(end), len(marks) - 2
+    lo = F.when(a < marks[0], 0).otherwise(bucket(a, marks))
+    hi = F.when(b.isNull() | (b >= marks[-1]), last).otherwise(bucket(b, marks))
+    rows = facts.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
+    return rows.withColumn("idx", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+
+
+def dense(cells: DataFrame, n: int, groups: tuple[str, ...], zero: list[str]) -> DataFrame:
+    """A row for every group and interval; the columns ``zero`` are 0 in empty cells, the others null."""
+    grid = cells.select(*groups).distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return grid.join(cells, [*groups, "idx"], "left").fillna(0, zero)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import facts, query, steps
-from .metrics import METRICS, compute
+from ..functions.intervals import binned, spread
+from .metrics import METRICS, SAMPLES, compute
 
 _STAGES = ("p01_pr_wip_time", "p04_pr_review_time", "p07_pr_merging_time", "p10_pr_release_time")
 _MEANS = " UNION ALL ".join(f"SELECT grp, idx, {METRICS[r]['value'].sql()} AS v FROM prs JOIN steps ON ({METRICS[r]['value'].time}) >= ts_from AND ({METRICS[r]['value'].time}) < ts_to GROUP BY ALL" for r in _STAGES)
@@ -15,7 +16,7 @@ _MEANS = " UNION ALL ".join(f"SELECT grp, idx, {METRICS[r]['value'].sql()} AS v
 @query("prs", f"SELECT grp, idx, CAST(sum(v) AS BIGINT) AS value FROM ({_MEANS}) GROUP BY ALL HAVING sum(v) IS NOT NULL")
 def p18_pr_live_cycle_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sum of the four stage means of a cell, of those that exist."""
-    cells = compute(facts(spark, sf_dir, "prs"), steps(spark, "prs"), {r[:3]: METRICS[r]["value"] for r in _STAGES})
+    cells = compute(facts(spark, sf_dir, "prs"), steps("prs"), {r[:3]: METRICS[r]["value"] for r in _STAGES})
     parts = [F.col(r[:3]) for r in _STAGES]
     return cells.where(F.coalesce(*parts).isNotNull()).select("grp", "idx", sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0)).cast("bigint").alias("value"))
 
@@ -45,21 +46,6 @@ def q26_data_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.selectExpr(f"stack({len(checks)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {n}' for n in checks)}) as (name, value)")
 
 
-@query("deployments", "SELECT event_id, coalesce(max(CAST(conclusion = 'FAILURE' AS INT)) OVER (PARTITION BY env, repo ORDER BY finished, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS stale FROM deployments")
-def d17_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deployments with an unprocessed one (here: a failed one) before them in their environment must be computed again."""
-    w = Window.partitionBy("env", "repo").orderBy("finished", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return facts(spark, sf_dir, "deployments").select("event_id", (F.coalesce(F.max(F.when(F.col("conclusion") == "FAILURE", 1).otherwise(0)).over(w), F.lit(0)) == 1).alias("stale"))
-
-
-@query("deployments", "SELECT env, repo, event_id FROM (SELECT *, count(*) OVER (PARTITION BY env, repo, commits) AS n FROM deployments WHERE conclusion = 'SUCCESS') WHERE n > 1")
-def d18_repeated_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Successful deployments of one commit more than once in an environment and repository."""
-    good = facts(spark, sf_dir, "deployments").where("conclusion = 'SUCCESS'")
-    again = good.groupBy("env", "repo", "commits").count().where("count > 1")
-    return good.join(again, ["env", "repo", "commits"], "left_semi").select("env", "repo", "event_id")
-
-
 @query("checks", "SELECT pr, count(DISTINCT name) AS failed_checks FROM (SELECT pr, name, arg_max(ok, started * 10000000 + event_id) AS ok FROM checks WHERE pr IS NOT NULL GROUP BY ALL) WHERE NOT ok GROUP BY 1")
 def c10_chk_latest_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests where the latest run of some check failed, with the number of such checks."""
@@ -82,13 +68,6 @@ def c18_check_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir, "checks").groupBy("grp", "name").agg(F.count("*").alias("runs"), F.max("started").alias("last_run"), F.count(F.when(F.col("ok"), 1)).alias("successes"), F.countDistinct("suite").alias("suites"), F.round(F.avg(took), 6).alias("mean_time"), F.round(F.stddev_pop(took), 6).alias("spread"))
 
 
-@query("actions", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, lines % 2 ORDER BY started, event_id) AS parent FROM actions")
-def g05_first_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first parent of each commit of the stand-in graph: the commit before it in its lane."""
-    w = Window.partitionBy("user_id", F.col("lines") % 2).orderBy("started", "event_id")
-    return facts(spark, sf_dir, "actions").select("event_id", F.lag("event_id").over(w).alias("parent"))
-
-
 @query("prs", "SELECT node_id, CASE WHEN closed < 820454400 THEN closed END AS closed, CASE WHEN merged < 820454400 THEN merged END AS merged, CASE WHEN released < 820454400 THEN released END AS released, coalesce(released < 820454400, FALSE) OR (coalesce(closed < 820454400, FALSE) AND merged IS NULL) AS done FROM prs WHERE created < 820454400")
 def f06_facts_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts as they stood on 1996-01-01: later times are null and done is taken anew."""

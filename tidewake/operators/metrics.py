@@ -7,13 +7,14 @@ mean (whole numbers, cut toward zero), count, sum, max, share (of samples up to
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import mean_int, share
-from ..functions.intervals import binned
+from ..functions.intervals import binned, dense
 
 DAY, HOUR = 86400, 3600
 
@@ -26,8 +27,10 @@ class Metric:
     time: str
     threshold: int = 0
 
-    def aggregate(self) -> Column:
+    def aggregate(self, of: Column | None = None) -> Column:
+        """The aggregate, over the rows that ``of`` holds for."""
         x = F.expr(self.sample)
+        x = x if of is None else F.when(of, x)
         return {
             "mean": lambda: mean_int(x), "count": lambda: F.count(x), "sum": lambda: F.coalesce(F.sum(x), F.lit(0)).cast("bigint"), "max": lambda: F.max(x), "share": lambda: share(x <= self.threshold), "average": lambda: F.round(F.avg(x), 6), "median": lambda: F.floor(F.percentile(x, 0.5)).cast("bigint"),
         }[self.kind]()
@@ -78,7 +81,6 @@ _counts("p24_pr_opened", "prs", "1 = 1", "created")
 _counts("p26_pr_merged", "prs", "1 = 1", "merged")
 _counts("p27_pr_rejected", "prs", "merged IS NULL", "closed")
 _counts("p28_pr_closed", "prs", "1 = 1", "closed")
-_counts("p30_pr_reviewed_closed", "prs", "n_reviews > 0", "closed")
 _counts("p31_pr_done", "prs", "done", "coalesce(released, CASE WHEN merged IS NULL THEN closed END)")
 _register("p34_pr_size", mean_size=Metric("prs", "mean", "size", "created"), median_size=Metric("prs", "median", "size", "created"))
 _register("p35_pr_size_below_threshold", value=Metric("prs", "share", "size", "created", 100))
@@ -108,15 +110,25 @@ _counts("v03_dev_releases", "actions", "topic = 'purchase'", "started")
 _register("v04_dev_reviews", **{n: Metric("actions", "count", f"CASE WHEN topic = 'view' AND {c} THEN 1 END", "started") for n, c in (("every", "1 = 1"), ("approvals", "lines % 3 = 0"), ("rejections", "lines % 3 = 1"), ("neutrals", "lines % 3 = 2"))})
 _register("v06_dev_comments", every=Metric("actions", "count", "CASE WHEN topic IN ('error', 'view') THEN 1 END", "started"), regular=Metric("actions", "count", "CASE WHEN topic = 'error' THEN 1 END", "started"))
 _register("v08_dev_active0", value=Metric("actions", "max", "CASE WHEN topic = 'click' THEN 1 ELSE 0 END", "started"))
-_register("v09_dev_worked", value=Metric("actions", "max", "1", "started"))
-_register("c12_chk_runs", longest=Metric("checks", "max", "completed - started", "started"), mean_time=Metric("checks", "mean", "completed - started", "started"))
-
-
-def compute(facts: DataFrame, steps: DataFrame, metrics: dict[str, Metric], groups: tuple[str, ...] = ("grp",)) -> DataFrame:
-    """(groups, idx, metrics): metrics that share an event time are one grouping; the others are joined to it by cell."""
-    out = None
-    for time in dict.fromkeys(m.time for m in metrics.values()):
-        own = {n: m for n, m in metrics.items() if m.time == time}
-        cells = binned(facts, steps, time).groupBy(*groups, "idx").agg(*[m.aggregate().alias(n) for n, m in own.items()])
-        out = cells if out is None else out.join(cells, [*groups, "idx"], "full")
-    return out
+_register("v09_dev_worked", value=Metric("actions", "sum", "CASE WHEN topic IN ('click', 'view', 'signup') THEN 1 END", "started"))
+
+
+#: Kinds whose empty cells are 0; the others don't exist there.
+ZERO = ("count", "sum", "share")
+
+
+def compute(facts: DataFrame, bounds: list[dt.date], metrics: dict[str, Metric], groups: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """(groups, idx, metrics) for every group with any fact in any interval.
+
+    Metrics of several event times are one pass over the facts and one grouping:
+    a fact gives a row for each distinct event time, and a metric aggregates the
+    rows of its own.
+    """
+    times = list(dict.fromkeys(m.time for m in metrics.values()))
+    if len(times) == 1:
+        rows, own = binned(facts, bounds, times[0]), {n: m.aggregate() for n, m in metrics.items()}
+    else:
+        stacked = facts.withColumn("event", F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.expr(t).cast("bigint").alias("at")) for k, t in enumerate(times)])))
+        rows, own = binned(stacked, bounds, "event.at"), {n: m.aggregate(F.col("event.which") == times.index(m.time)) for n, m in metrics.items()}
+    cells = rows.groupBy(*groups, "idx").agg(*[c.alias(n) for n, c in own.items()])
+    return dense(cells, len(bounds) - 1, groups, [n for n, m in metrics.items() if m.kind in ZERO])

@@ -24,19 +24,22 @@ def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders.join(lines.select("l_orderkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_suppkey", "l_quantity", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     valid = F.col("l_shipdate") >= F.col("o_orderdate")
     only = lambda c: F.when(valid, c)
-    facts = rows.groupBy("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority").agg(
+    facts = rows.groupBy("o_orderkey").agg(
+        *[F.any_value(c).alias(c) for c in ("o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")],
         F.min(only(at("A"))).alias("first_commit"), F.max(only(at("A"))).alias("last_commit"), F.count(only(at("A"))).alias("n_commits"),
         F.min(only(at("N"))).alias("first_review_request"), F.count(only(at("N"))).alias("regular_comments"),
         F.min(only(at("R"))).alias("first_comment"), F.max(only(at("R"))).alias("last_review"), F.count(only(at("R"))).alias("n_reviews"),
         F.max(only(F.when(F.col("l_linestatus") == "O", at("R")))).alias("ok_review"), F.count(only(F.when(F.col("l_linestatus") == "F", at("R")))).alias("n_rejections"),
         F.max(only(F.unix_seconds("l_shipdate"))).alias("last_event"), F.coalesce(F.sum(only(F.col("l_quantity"))).cast("bigint"), F.lit(0)).alias("size"),
-        (F.countDistinct(only(F.col("l_suppkey"))) + 1).alias("participants"), F.countDistinct(only(F.col("l_partkey"))).alias("n_issues"),
+        F.array_sort(F.collect_list(only(at("R")))).alias("reviews"), F.array_sort(F.collect_set(only(F.expr("unix_seconds(l_shipdate) div 86400")))).alias("activity_days"),
+        F.array_sort(F.collect_list(F.when(valid & (F.col("l_returnflag") == "R"), F.struct(F.col("l_suppkey").alias("reviewer"), F.unix_seconds("l_shipdate").alias("at"), (F.col("l_linestatus") == "F").alias("rejects"))))).alias("verdicts"),
+        (F.size(F.collect_set(only(F.col("l_suppkey")))) + 1).cast("bigint").alias("participants"), F.size(F.collect_set(only(F.col("l_partkey")))).cast("bigint").alias("n_issues"),
     )
     created, status = F.unix_seconds("o_orderdate"), F.col("o_orderstatus")
     facts = facts.select(
         F.col("o_orderkey").alias("node_id"), F.col("o_custkey").alias("author"), F.col("o_orderpriority").alias("label"), created.alias("created"), *[c for c in facts.columns if c[:2] != "o_"],
         F.when(status.isin("F", "P"), F.coalesce("last_event", created)).alias("closed"), F.when(status == "F", F.coalesce("last_event", created)).alias("merged"),
-        F.when(F.col("n_rejections") == 0, F.col("ok_review")).alias("approved"), F.least(created, "first_commit").alias("work_began"),
+        F.when(~F.exists("verdicts", lambda v: v["rejects"] & ~F.exists("verdicts", lambda w: (w["reviewer"] == v["reviewer"]) & ((w["at"] > v["at"]) | ((w["at"] == v["at"]) & ~w["rejects"])))), F.col("last_review")).alias("approved"), F.least(created, "first_commit").alias("work_began"),
     )
     quarter = F.date_trunc("quarter", F.timestamp_seconds("merged"))
     facts = facts.withColumn("released", F.unix_seconds(F.add_months(quarter, 3).cast("timestamp")))
@@ -88,17 +91,26 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", "grp", "user_id", F.col("event_type").alias("topic"), "started", F.col("k").alias("lines"))
 
 
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commits of a repository's two chains (see ``operators.graph``)."""
+    from ..operators.graph import chained_commits
+
+    return chained_commits(_events(spark, sf_dir))
+
+
 #: The same tables as SQL, for the comparison with DuckDB.
 SQL = {
-    "prs": """prs0 AS (SELECT o_orderkey AS node_id, o_custkey AS author, o_orderpriority AS label, CAST(epoch(o_orderdate) AS BIGINT) AS created, o_orderstatus AS status,
+    "prs": """last_verdicts AS (SELECT l_orderkey AS pr, l_suppkey, max(l_shipdate) AS seen, arg_max(l_linestatus, epoch(l_shipdate) * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS verdict FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_shipdate >= o_orderdate GROUP BY 1, 2),
+verdicts AS (SELECT pr, CAST(epoch(max(seen)) AS BIGINT) AS approved FROM last_verdicts GROUP BY 1 HAVING count(CASE WHEN verdict = 'F' THEN 1 END) = 0),
+prs0 AS (SELECT o_orderkey AS node_id, o_custkey AS author, o_orderpriority AS label, CAST(epoch(o_orderdate) AS BIGINT) AS created, o_orderstatus AS status,
   CAST(epoch(min(l_shipdate) FILTER (l_returnflag = 'A')) AS BIGINT) AS first_commit, CAST(epoch(max(l_shipdate) FILTER (l_returnflag = 'A')) AS BIGINT) AS last_commit, count(*) FILTER (l_returnflag = 'A') AS n_commits,
   CAST(epoch(min(l_shipdate) FILTER (l_returnflag = 'N')) AS BIGINT) AS first_review_request, count(*) FILTER (l_returnflag = 'N') AS regular_comments,
   CAST(epoch(min(l_shipdate) FILTER (l_returnflag = 'R')) AS BIGINT) AS first_comment, CAST(epoch(max(l_shipdate) FILTER (l_returnflag = 'R')) AS BIGINT) AS last_review, count(*) FILTER (l_returnflag = 'R') AS n_reviews,
   CAST(epoch(max(l_shipdate) FILTER (l_returnflag = 'R' AND l_linestatus = 'O')) AS BIGINT) AS ok_review, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS n_rejections,
-  max(l_shipdate) AS last_event, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS size, count(DISTINCT l_suppkey) + 1 AS participants, count(DISTINCT l_partkey) AS n_issues, o_orderdate
+  list(CAST(epoch(l_shipdate) AS BIGINT) ORDER BY l_shipdate) FILTER (l_returnflag = 'R') AS reviews, list_sort(list(DISTINCT epoch(l_shipdate) // 86400)) AS activity_days, max(l_shipdate) AS last_event, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS size, count(DISTINCT l_suppkey) + 1 AS participants, count(DISTINCT l_partkey) AS n_issues, o_orderdate
   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate GROUP BY ALL),
 prs1 AS (SELECT *, CASE WHEN status IN ('F', 'P') THEN coalesce(last_event, o_orderdate) END AS closed_ts, CASE WHEN status = 'F' THEN coalesce(last_event, o_orderdate) END AS merged_ts FROM prs0),
-prs2 AS (SELECT *, CAST(epoch(closed_ts) AS BIGINT) AS closed, CAST(epoch(merged_ts) AS BIGINT) AS merged, CASE WHEN n_rejections = 0 THEN ok_review END AS approved, least(created, first_commit) AS work_began, CAST(epoch(date_trunc('quarter', merged_ts) + INTERVAL 3 MONTH) AS BIGINT) AS released FROM prs1),
+prs2 AS (SELECT *, CAST(epoch(closed_ts) AS BIGINT) AS closed, CAST(epoch(merged_ts) AS BIGINT) AS merged, verdicts.approved, least(created, first_commit) AS work_began, CAST(epoch(date_trunc('quarter', merged_ts) + INTERVAL 3 MONTH) AS BIGINT) AS released FROM prs1 LEFT JOIN verdicts ON pr = node_id),
 prs AS (SELECT p.*, CASE WHEN node_id % 4 <> 0 THEN released + (node_id % 10) * 86400 - (node_id % 3) * 43200 END AS deployed, node_id % 3 AS env, released IS NOT NULL OR (closed IS NOT NULL AND merged IS NULL) AS done, n_name AS grp, n_regionkey AS region
   FROM prs2 p JOIN customer ON c_custkey = author JOIN nation ON n_nationkey = c_nationkey)""",
     "releases": """releases AS (SELECT grp, published, prs, commits, lines, published - coalesce(lag(published) OVER (PARTITION BY grp ORDER BY published), oldest) AS age, CASE WHEN length(grp) % 2 = 0 THEN 'tag' ELSE 'branch' END AS matched_by
@@ -110,7 +122,12 @@ prs AS (SELECT p.*, CASE WHEN node_id % 4 <> 0 THEN released + (node_id % 10) *
   prs_began, CASE WHEN n_released = prs_count THEN last_released END AS prs_released, coalesce(prs_count, 0) AS prs_count, CASE p_size % 3 WHEN 0 THEN 'Done' WHEN 1 THEN 'In Progress' ELSE 'To Do' END AS category
   FROM part LEFT JOIN (SELECT l_partkey, min(created) AS prs_began, min(first_commit) AS began, max(closed) AS last_closed, max(released) AS last_released, count(*) AS prs_count, count(released) AS n_released
   FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) JOIN prs ON node_id = l_orderkey GROUP BY 1) ON p_partkey = l_partkey)""",
+    "commits": """commits0 AS (SELECT event_id AS sha, user_id AS repo, event_type AS kind, started, k, k % 2 AS chain FROM ev),
+commits1 AS (SELECT *, lag(sha) OVER (PARTITION BY repo, chain ORDER BY started, sha) AS parent0, last_value(CASE WHEN chain = 0 THEN sha END IGNORE NULLS) OVER w AS before0, last_value(CASE WHEN chain = 1 THEN sha END IGNORE NULLS) OVER w AS before1 FROM commits0 WINDOW w AS (PARTITION BY repo ORDER BY started, sha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+commits AS (SELECT *, CASE WHEN kind = 'signup' THEN CASE chain WHEN 0 THEN before1 ELSE before0 END END AS parent1, kind = 'signup' AND CASE chain WHEN 0 THEN before1 ELSE before0 END IS NOT NULL AS is_merge FROM commits1),
+edges AS (SELECT sha AS child, parent0 AS parent, 0 AS idx FROM commits WHERE parent0 IS NOT NULL UNION ALL SELECT sha, parent1, 1 FROM commits WHERE parent1 IS NOT NULL),
+tags AS (SELECT sha, repo, started AS published, 'v' || (k // 10) AS tag, k FROM commits WHERE kind = 'purchase' AND chain = 0)""",
     "actions": """actions AS (SELECT event_id, grp, user_id, event_type AS topic, started, k AS lines FROM ev)""",
 }
-NEEDS = {"prs": ["prs"], "releases": ["prs", "releases"], "checks": ["ev", "checks"], "deployments": ["ev", "deployments"], "issues": ["prs", "issues"], "actions": ["ev", "actions"]}
-BUILD = {"prs": pull_requests, "releases": releases, "checks": check_runs, "deployments": deployments, "issues": issues, "actions": actions}
+NEEDS = {"prs": ["prs"], "releases": ["prs", "releases"], "checks": ["ev", "checks"], "deployments": ["ev", "deployments"], "issues": ["prs", "issues"], "actions": ["ev", "actions"], "commits": ["ev", "commits"]}
+BUILD = {"prs": pull_requests, "releases": releases, "checks": check_runs, "deployments": deployments, "issues": issues, "actions": actions, "commits": commits}
