@@ -64,7 +64,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check runs; a suite is a user's day."""
     e = _events(spark, sf_dir)
-    return e.select("event_id", "grp", F.col("event_type").alias("name"), "started", (F.col("started") + F.col("seconds")).alias("completed"), (F.col("user_id") * 100000 + F.floor(F.col("started") / 86400)).alias("suite"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("k") % 4 != 0, F.col("user_id") * 100 + F.col("k") % 7).alias("pr"), (F.col("user_id") * 1000 + F.col("k")).alias("commit"))
+    return e.select("event_id", "grp", F.col("event_type").alias("name"), "started", (F.col("started") + F.col("seconds")).alias("completed"), (F.col("user_id") * 100000 + F.floor(F.col("started") / 86400)).alias("suite"), (~(F.col("k") % 10).isin(0, 1, 2)).alias("ok"), F.expr("CASE k % 10 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'CANCELLED' WHEN 2 THEN 'SKIPPED' WHEN 3 THEN 'NEUTRAL' ELSE 'SUCCESS' END").alias("conclusion"), F.when(F.col("k") % 4 != 0, F.col("user_id") * 100 + F.col("k") % 7).alias("pr"), F.expr("user_id * 100000 + started div 172800").alias("commit"), F.col("user_id").alias("pusher"))
 
 
 def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,26 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chained_commits(_events(spark, sf_dir))
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.unix_seconds("l_shipdate").alias("at"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region")
+
+
+def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+
+
+def reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+
+
 #: The same tables as SQL, for the comparison with DuckDB.
 SQL = {
     "prs": """last_verdicts AS (SELECT l_orderkey AS pr, l_suppkey, max(l_shipdate) AS seen, arg_max(l_linestatus, epoch(l_shipdate) * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS verdict FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_shipdate >= o_orderdate GROUP BY 1, 2),
@@ -116,7 +136,7 @@ prs AS (SELECT p.*, CASE WHEN node_id % 4 <> 0 THEN released + (node_id % 10) *
     "releases": """releases AS (SELECT grp, published, prs, commits, lines, published - coalesce(lag(published) OVER (PARTITION BY grp ORDER BY published), oldest) AS age, CASE WHEN length(grp) % 2 = 0 THEN 'tag' ELSE 'branch' END AS matched_by
   FROM (SELECT grp, released AS published, count(*) AS prs, sum(n_commits) AS commits, sum(size) AS lines, min(created) AS oldest FROM prs WHERE released IS NOT NULL GROUP BY ALL))""",
     "ev": """ev AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS started, CAST(floor(value) AS BIGINT) AS seconds, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(user_id % 10 AS VARCHAR) AS grp FROM events)""",
-    "checks": """checks AS (SELECT event_id, grp, event_type AS name, started, started + seconds AS completed, user_id * 100000 + started // 86400 AS suite, event_type <> 'error' AS ok, CASE WHEN k % 4 <> 0 THEN user_id * 100 + k % 7 END AS pr, user_id * 1000 + k AS commit FROM ev)""",
+    "checks": """checks AS (SELECT event_id, grp, event_type AS name, started, started + seconds AS completed, user_id * 100000 + started // 86400 AS suite, k % 10 > 2 AS ok, CASE k % 10 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'CANCELLED' WHEN 2 THEN 'SKIPPED' WHEN 3 THEN 'NEUTRAL' ELSE 'SUCCESS' END AS conclusion, CASE WHEN k % 4 <> 0 THEN user_id * 100 + k % 7 END AS pr, user_id * 100000 + started // 172800 AS commit, user_id AS pusher FROM ev)""",
     "deployments": """deployments AS (SELECT event_id, grp, k % 3 AS env, started, started + seconds AS finished, CASE k % 10 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'CANCELLED' ELSE 'SUCCESS' END AS conclusion, k % 7 = 0 AS failure_label, k % 5 AS prs, k % 11 AS commits, k AS lines, user_id AS repo FROM ev WHERE event_type = 'purchase')""",
     "issues": """issues AS (SELECT p_partkey AS id, split_part(p_type, ' ', 1) AS grp, 694224000 + p_size * 86400 * 20 AS created, CASE WHEN p_size % 5 <> 0 THEN coalesce(began, 725846400 + p_size * 86400) END AS work_began, CASE WHEN p_size % 3 = 0 THEN coalesce(last_closed, 852076800 + p_size * 86400) END AS resolved,
   prs_began, CASE WHEN n_released = prs_count THEN last_released END AS prs_released, coalesce(prs_count, 0) AS prs_count, CASE p_size % 3 WHEN 0 THEN 'Done' WHEN 1 THEN 'In Progress' ELSE 'To Do' END AS category
@@ -130,4 +150,4 @@ tags AS (SELECT sha, repo, started AS published, 'v' || (k // 10) AS tag, k FROM
     "actions": """actions AS (SELECT event_id, grp, user_id, event_type AS topic, started, k AS lines FROM ev)""",
 }
 NEEDS = {"prs": ["prs"], "releases": ["prs", "releases"], "checks": ["ev", "checks"], "deployments": ["ev", "deployments"], "issues": ["prs", "issues"], "actions": ["ev", "actions"], "commits": ["ev", "commits"]}
-BUILD = {"prs": pull_requests, "releases": releases, "checks": check_runs, "deployments": deployments, "issues": issues, "actions": actions, "commits": commits}
+BUILD = {"prs": pull_requests, "releases": releases, "checks": check_runs, "deployments": deployments, "issues": issues, "actions": actions, "commits": commits, "lines": lines, "parts": parts, "regions": regions, "authors": authors, "reviewers": reviewers}
