@@ -15,7 +15,7 @@ import struct
 import numpy as np
 
 #: Bytes kept by each half of the store, with what Python needs for a word and its ids.
-KEEP_BYTES, OVERHEAD = 72 << 20, 200
+KEEP_BYTES, OVERHEAD = 88 << 20, 200
 #: Longer words are encoded each time they come.
 LONGEST = 64
 _CONTROL = re.compile("[\x1c-\x1f]")

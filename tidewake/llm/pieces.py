@@ -247,7 +247,7 @@ class PieceEncoder:
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.used > KEEP_BYTES:
+        if self.used > 3 * KEEP_BYTES // 2:
             self.store, self.old, self.used = _Store(), self.store, 0
         again: dict[str, int] = {}
         place = [again.setdefault(x, len(again)) for x in texts]  # equal texts are encoded once
