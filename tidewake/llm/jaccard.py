@@ -258,7 +258,7 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size="1m")
     docs = unique_documents(docs)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +287,7 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     rare = shared.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("df"), F.desc("h")).mapInArrow(rare_part, "h long, n long, doc_id long")
     links = rare.repartition("h").sortWithinPartitions("h", "n", "doc_id").mapInArrow(chained, "a long, b long").distinct()
     blocks = stored(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "blocks")
-    small_batches(spark)
+    small_batches(spark, size="1m")
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -99,7 +99,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFra
     packed with others'. Equal lengths keep the order of rows. An empty table
     gives no rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size="1m")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -37,7 +37,7 @@ class Features:
         return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in {"w" + w, "p" + w[:4], "p" + w[:5]})
 
     def of(self, text: str) -> np.ndarray:
-        if len(self.known) > 200_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         out: set[int] = set()
         for w in set(_LETTERS.findall(text.translate(LOWER))):
