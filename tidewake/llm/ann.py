@@ -45,7 +45,8 @@ def nearest(table: DataFrame, k: int = 20, query_modulus: int = 20, vector: str
     pivot, sums the footrule distance of each query over the query's postings
     (a pivot outside a prefix counts as ``prefix``), and takes the
     nearest ``share`` of the block, ``rerank`` at least and ties to smaller ids,
-    to the exact measure. Queries go
+    to the exact measure. Permutations tell directions alone, so what a footrule
+    distance falls short of the largest is weighed by the row's length. Queries go
     to blocks in chunks; each block keeps ``k`` a query. Vectors of another
     length than the pivots' take no part. Copies tie, and smaller ids come
     first. With no usable vector the result is empty.
@@ -75,6 +76,7 @@ def nearest(table: DataFrame, k: int = 20, query_modulus: int = 20, vector: str
             order = np.argsort(perm.ravel(), kind="stable")
             post, place = order // prefix, order % prefix
             edge = np.searchsorted(perm.ravel()[order], np.arange(len(pivots) + 1))
+            length = np.linalg.norm(vb, axis=1)
             for qid, v, own in zip(q["vec_id"], vq, permutations(vq, pivots, prefix), strict=True):
                 gain = np.zeros(len(b), np.int32)  # how much below the largest footrule distance
                 for at, p in enumerate(own):
@@ -83,7 +85,7 @@ def nearest(table: DataFrame, k: int = 20, query_modulus: int = 20, vector: str
                 mine = np.searchsorted(ids, qid)
                 if mine < len(ids) and ids[mine] == qid:
                     gain[mine] = -1
-                pick = np.argsort(-gain, kind="stable")[: max(rerank, int(np.ceil(share * len(b))))]
+                pick = np.argsort(-gain * length, kind="stable")[: max(rerank, int(np.ceil(share * len(b))))]
                 pick = pick[gain[pick] >= 0]
                 score = vb[pick] @ v
                 best = np.lexsort((ids[pick], -score))[:k]
