@@ -80,6 +80,12 @@ def spread(facts: DataFrame, bounds: list[dt.date], begin: str, end: str) -> Dat
 
 
 def dense(cells: DataFrame, n: int, groups: tuple[str, ...], zero: list[str]) -> DataFrame:
-    """A row for every group and interval; the columns ``zero`` are 0 in empty cells, the others null."""
-    grid = cells.select(*groups).distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return grid.join(cells, [*groups, "idx"], "left").fillna(0, zero)
+    """A row for every group and interval; the columns ``zero`` are 0 in empty cells, the others null.
+
+    A group's cells, one an interval at most, are gathered in a map and laid out
+    again, so what they come from is computed once.
+    """
+    told = [c for c in cells.columns if c not in (*groups, "idx")]
+    held = cells.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("idx", F.struct(*told).alias("cell")))).alias("cells"))
+    laid = held.select(*groups, "cells", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx")).withColumn("cell", F.col("cells")[F.col("idx")])
+    return laid.select(*groups, "idx", *[F.coalesce(F.col(f"cell.{c}"), F.lit(0)).alias(c) if c in zero else F.col(f"cell.{c}") for c in told])
