@@ -8,11 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A source table; times without a zone are taken in the session's (UTC)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
+from ..sources.tables import table
 
 
 def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
