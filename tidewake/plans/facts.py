@@ -98,7 +98,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
