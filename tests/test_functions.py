@@ -25,3 +25,22 @@ def test_null_rules(spark):
 def test_outlier_cut_takes_the_nearest_rank(spark):
     df = spark.createDataFrame([("g", 946857600 + i, i) for i in range(11)], "g string, t long, x long")
     assert sorted(r.x for r in cut_outliers(df, ["g"], "t", "x", 0.0, 0.75).collect()) == list(range(9))  # rint(7.5) = 8
+
+
+def test_median_ranks_hold_the_stated_share():
+    from math import comb
+
+    from tidewake.functions.order_statistics import median_ranks
+
+    assert median_ranks(1) == (1, 1) and median_ranks(10) == (4, 7)
+    for n in range(1, 60):
+        low, high = median_ranks(n)
+        assert 1 <= low <= high <= n
+        assert sum(comb(n, k) for k in range(low)) >= 0.1 * 2**n  # the tail is the smallest count that reaches a tenth
+
+
+def test_timeline_steps(spark):
+    from tidewake.operators.tracker import timeline
+
+    rows = spark.createDataFrame([(19723 + 40, 19723, 30), (19723 + 40, 19723, 100), (19723 + 40, 19723, 400), (19730, 19728, 400)], "day long, first long, span long")
+    assert [r[0] for r in rows.select(timeline(F.col("day"), F.col("first"), F.col("span"))).collect()] == [19763, 19758, 19723 + 31, 19728]

@@ -1,9 +1,18 @@
-"""Streams of notifications: ingested once, and counted by day."""
+"""Streams: notifications ingested once, counted by day and resolved late; late deployments; pending checks paired with their ends."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
+
+#: Seconds after which a pending check is given up.
+GIVE_UP = 86400
+PAIRS = "suite long, name string, started timestamp, ended timestamp, status string"
 
 
 def ingest_once(stream: DataFrame, late: str = "1 day") -> DataFrame:
@@ -17,3 +26,62 @@ def day_counters(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """(day, kind, n): running counts by day; a day is final once the watermark has passed it."""
     days = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "kind").agg(F.count("*").alias("n"))
     return days.select(F.col("w.start").alias("day"), "kind", "n")
+
+
+def resolve_references(notifications: DataFrame, commits: DataFrame, wait: str = "1 day") -> DataFrame:
+    """Notifications (repo, short, ts) with the commit (repo, sha, seen) that their short hash names, waited for ``wait`` on either side of ``ts``; a null sha once the watermarks say that none will come."""
+    asked = notifications.withWatermark("ts", wait)
+    known = commits.select(F.col("repo").alias("of"), "sha", F.substring("sha", 1, 7).alias("head"), "seen").withWatermark("seen", wait)
+    near = (F.col("seen") >= F.col("ts") - F.expr(f"INTERVAL {wait}")) & (F.col("seen") <= F.col("ts") + F.expr(f"INTERVAL {wait}"))
+    return asked.join(known, (F.col("repo") == F.col("of")) & (F.col("short") == F.col("head")) & near, "left_outer").select("repo", "short", "ts", "sha")
+
+
+def keep_deployments(stream: DataFrame, path: str) -> DataStreamWriter:
+    """Append each batch of deployments (env, id, finished) to a folder of its own number, so that a batch that runs again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write)
+
+
+def repaired_deployments(spark: SparkSession, path: str) -> DataFrame:
+    """The kept deployments, with ``stale`` for those that a later batch brought an earlier deployment of their environment for, so that what was derived from them must be made anew.
+
+    Nothing stored is rewritten: the earliest time that each environment got in
+    a batch is one row, and a running minimum over later batches tells.
+    """
+    rows = spark.read.option("basePath", path).parquet(path)
+    later = Window.partitionBy("env").orderBy(F.desc("batch")).rowsBetween(Window.unboundedPreceding, -1)
+    came = rows.groupBy("env", "batch").agg(F.min("finished").alias("least")).withColumn("since", F.min("least").over(later)).select("env", "batch", "since")
+    return rows.join(came, ["env", "batch"]).select("env", "id", "finished", F.coalesce(F.col("finished") > F.col("since"), F.lit(False)).alias("stale"))
+
+
+def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    suite, name = key
+    begun = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+    out: list[tuple] = []
+    if state.hasTimedOut:
+        out.append((suite, name, begun, None, "PENDING"))
+        state.remove()
+        begun = None
+    rows = [r for b in batches for r in zip(b["ts"], b["status"], strict=True)]
+    for ts, status in sorted(rows):
+        if status == "PENDING":
+            begun = ts if begun is None else begun
+        else:
+            late = begun is not None and (ts - begun).total_seconds() > GIVE_UP
+            out.append((suite, name, ts if begun is None else begun, None if late else ts, status))
+            begun = None
+    if begun is not None:
+        state.update((int(begun.value // 1000),))
+        state.setTimeoutTimestamp(max(int(begun.value // 1_000_000) + GIVE_UP * 1000, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame(out, columns=["suite", "name", "started", "ended", "status"]).astype({"started": "datetime64[ns]", "ended": "datetime64[ns]"})
+
+
+def pending_with_completion(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Pending statuses (suite, name, ts, status) joined to what ends them: one row from the pending one's time to the end's; no end beyond 24 hours, and a pending row alone when none came by then. State holds one time a key."""
+    keyed = stream.withWatermark("ts", late).groupBy("suite", "name")
+    return keyed.applyInPandasWithState(_pair, PAIRS, "begun long", "append", "EventTimeTimeout")
