@@ -218,4 +218,4 @@ def e05_e07_group_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir, "prs").withColumn("lines_group", bucket(F.col("size"), [20, 50, 100, 150])).where("lines_group is not null").groupBy("lines_group", "grp").agg(F.count("*").alias("prs"))
 
 
-from .operators import checks, groups, history, lists, records, reviews, tracker  # noqa: E402, F401  they register their queries
+from .operators import checks, groups, history, lists, records, reviews, streams, tracker  # noqa: E402, F401  they register their queries
