@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .manifest import MANIFEST_SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,5 +79,11 @@ def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_chunked_media, op4_suffix_pieces, op5_gated_language_model, op7_trie_counts, op3_classifier_chain, op6_jaccard_rtree, op8_collinear_chains, op9_permutation_index, op10_tiered_packing)}
-ORACLES: dict[str, str] = {}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import manifest_report
+
+    return manifest_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_chunked_media, op4_suffix_pieces, op5_gated_language_model, op7_trie_counts, op3_classifier_chain, op6_jaccard_rtree, op8_collinear_chains, op9_permutation_index, op10_tiered_packing, op11_merkle_manifest)}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": MANIFEST_SQL}
