@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .manifest import MANIFEST_SQL
+from .phrases import COLLOCATIONS_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,5 +86,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_chunked_media, op4_suffix_pieces, op5_gated_language_model, op7_trie_counts, op3_classifier_chain, op6_jaccard_rtree, op8_collinear_chains, op9_permutation_index, op10_tiered_packing, op11_merkle_manifest)}
-ORACLES: dict[str, str] = {"op11_merkle_manifest": MANIFEST_SQL}
+def op12_stripe_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_chunked_media, op4_suffix_pieces, op5_gated_language_model, op7_trie_counts, op3_classifier_chain, op6_jaccard_rtree, op8_collinear_chains, op9_permutation_index, op10_tiered_packing, op11_merkle_manifest, op12_stripe_collocations, op13_unlabelled_quality)}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": MANIFEST_SQL, "op12_stripe_collocations": COLLOCATIONS_SQL}
