@@ -30,6 +30,8 @@ FILTER_BITS = 26
 #: A prefix with this share of all words has its stripe split in ``SEGMENTS`` by the next word; at most the inverse of it are.
 HOT_SHARE = 1e-4
 SEGMENTS = 64
+#: Shelves that stripes are moved by, at least.
+SHELVES = 256
 #: Entries that a task holds before it adds them up, or hands them on.
 HELD = 1 << 20
 
@@ -119,15 +121,17 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def merged_stripes(docs: DataFrame, m: int, bits: np.ndarray, hot: np.ndarray) -> DataFrame:
+def merged_stripes(docs: DataFrame, m: int, bits: np.ndarray, hot: np.ndarray, words: int) -> DataFrame:
     """(p, total, next): the merged stripes of prefixes of m - 1 words; next has (x, q, s, n), the frequent next words with the keys of phrase and suffix.
 
     A stripe's entry 0 counts the places where nothing frequent follows, so
     ``total`` is the prefix's own number of occurrences. The stripe of a hot
-    prefix comes in segments of next words, each merged and totalled alone.
+    prefix comes in segments of next words, each merged and totalled alone. Stripes
+    move by the shelf, some thousands of one hash together; there are as many
+    shelves as keep the places of one in memory.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((bits, hot))
+    shared, shelves = spark.sparkContext.broadcast((bits, hot)), max(SHELVES, words // HELD)
 
     def stripe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot = shared.value
@@ -135,15 +139,13 @@ def merged_stripes(docs: DataFrame, m: int, bits: np.ndarray, hot: np.ndarray) -
         def rows(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             (found,) = _add_up(parts)
             seg = np.where(np.isin(found[0], hot), found[1] % np.uint64(SEGMENTS), np.uint64(0))
-            order = np.lexsort((seg, found[0]))
-            found, seg = found[:, order], seg[order]
-            begin = np.flatnonzero(np.concatenate([[True], (found[0, 1:] != found[0, :-1]) | (seg[1:] != seg[:-1])])) if found.shape[1] else np.empty(0, np.int64)
-            packed = np.ascontiguousarray(found[1:].T)
-            for i in range(0, len(begin), 1 << 15):
-                some = begin[i : i + (1 << 15)]
-                until = begin[i + (1 << 15)] if i + (1 << 15) < len(begin) else len(seg)
-                offsets = ((np.append(some, until) - some[0]) * 24).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0, some].view(np.int64)), pa.array(seg[some].astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(packed[some[0] : until])])], names=["p", "seg", "entries"])
+            home = (_fold(found[0], seg) % np.uint64(shelves)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            home, packed = home[order], np.ascontiguousarray(found[:, order].T)
+            begin = np.append(np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else [], len(home)).astype(np.int64)
+            for i in range(0, len(begin) - 1, 64):
+                some = begin[i : i + 65]
+                yield pa.RecordBatch.from_arrays([pa.array(home[some[:-1]]), pa.BinaryArray.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(((some - some[0]) * 32).astype(np.int32)), pa.py_buffer(packed[some[0] : some[-1]])])], names=["shelf", "entries"])
 
         parts, size = [np.empty((4, 0), np.uint64)], 0
         for b in batches:
@@ -177,25 +179,22 @@ def merged_stripes(docs: DataFrame, m: int, bits: np.ndarray, hot: np.ndarray) -
             each = pa.StructArray.from_arrays([pa.array(c.view(np.int64)) for c in (x, _fold(p, x), s, n)], ["x", "q", "s", "n"])
             return pa.RecordBatch.from_arrays([pa.array(rows[0, begin].view(np.int64)), pa.array(np.add.reduceat(rows[3], begin).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), each)], names=["p", "total", "next"])
 
+        now = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            entries, keys = b.column(2).to_pylist(), np.array(b.column(0)).view(np.uint64)
-            flat = np.frombuffer(b"".join(entries), np.uint64).reshape(-1, 3)
-            p = np.repeat(keys, [len(e) // 24 for e in entries])
-            parts.append(np.vstack([p, flat.T]))
-            size += len(p)
-            if size > HELD // 4:
-                parts = _add_up(parts)
-                done = parts[0][0] != keys[-1]  # the last prefix may go on
-                if done.any():
-                    yield out(parts[0][:, done])
-                parts, size = [parts[0][:, ~done]], int((~done).sum())
-        (rest,) = _add_up(parts)
-        if rest.shape[1]:
-            yield out(rest)
-
-    found = docs.mapInArrow(stripe, "p long, seg int, entries binary").repartition("p", "seg").sortWithinPartitions("p", "seg")
+            for shelf, entries in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if shelf != now and size:
+                    yield out(_add_up(parts)[0])
+                    parts, size = [parts[0][:, :0]], 0
+                now = shelf
+                parts.append(np.frombuffer(entries.as_buffer(), np.uint64).reshape(-1, 4).T)
+                size += parts[-1].shape[1]
+                if size > 2 * max(HELD, parts[0].shape[1]):
+                    parts = _add_up(parts)
+                    size = parts[0].shape[1]
+        if size:
+            yield out(_add_up(parts)[0])
+
+    found = docs.mapInArrow(stripe, "shelf long, entries binary").repartition("shelf").sortWithinPartitions("shelf")
     found = stored(found.mapInArrow(merge, "p long, total long, next array<struct<x:long,q:long,s:long,n:long>>"), f"stripes-{m}")
     shared.unpersist()
     return found
@@ -234,7 +233,7 @@ def candidates(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         before = levels[-1]
         if before.isEmpty():
             break
-        stripes = merged_stripes(docs, m, _filter_of(before), _hot_of(before, every))
+        stripes = merged_stripes(docs, m, _filter_of(before), _hot_of(before, every), every)
         whole = stripes.groupBy("p").agg(F.sum("total").alias("total"))
         found = stripes.select("p", F.explode("next").alias("e")).select("p", F.col("e.q").alias("key"), F.col("e.s").alias("s"), F.col("e.n").alias("f"))
         first = before.join(whole, before["key"] == whole["p"]).select(before["key"].alias("p"), "lang", "phrase", F.concat("firsts", F.array("total")).alias("firsts"))
