@@ -140,12 +140,12 @@ def merged_stripes(docs: DataFrame, m: int, bits: np.ndarray, hot: np.ndarray, w
             (found,) = _add_up(parts)
             seg = np.where(np.isin(found[0], hot), found[1] % np.uint64(SEGMENTS), np.uint64(0))
             home = (_fold(found[0], seg) % np.uint64(shelves)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            home, packed = home[order], np.ascontiguousarray(found[:, order].T)
+            order = np.lexsort((found[0], home))
+            home, found = home[order], found[:, order]
             begin = np.append(np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else [], len(home)).astype(np.int64)
-            for i in range(0, len(begin) - 1, 64):
-                some = begin[i : i + 65]
-                yield pa.RecordBatch.from_arrays([pa.array(home[some[:-1]]), pa.BinaryArray.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(((some - some[0]) * 32).astype(np.int32)), pa.py_buffer(packed[some[0] : some[-1]])])], names=["shelf", "entries"])
+            for i in range(0, len(begin) - 1, 64):  # column by column and in order of prefixes, which packs well
+                some = begin[i : i + 65].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(home[some[:-1]]), pa.array([found[:, a:b].tobytes() for a, b in zip(some, some[1:], strict=False)], pa.binary())], names=["shelf", "entries"])
 
         parts, size = [np.empty((4, 0), np.uint64)], 0
         for b in batches:
@@ -186,7 +186,7 @@ def merged_stripes(docs: DataFrame, m: int, bits: np.ndarray, hot: np.ndarray, w
                     yield out(_add_up(parts)[0])
                     parts, size = [parts[0][:, :0]], 0
                 now = shelf
-                parts.append(np.frombuffer(entries.as_buffer(), np.uint64).reshape(-1, 4).T)
+                parts.append(np.frombuffer(entries.as_buffer(), np.uint64).reshape(4, -1))
                 size += parts[-1].shape[1]
                 if size > 2 * max(HELD, parts[0].shape[1]):
                     parts = _add_up(parts)
