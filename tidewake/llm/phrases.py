@@ -222,7 +222,7 @@ def candidates(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     the table before it.
     """
     docs = only(docs, "lang", "text").withColumn("lang", F.coalesce("lang", F.lit("und")))
-    small_batches(docs.sparkSession, 2048, "4m")
+    small_batches(docs.sparkSession, 1024, "2m")
     words = _distinct(count_words(docs))
     totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "langs")
     none = F.array().cast("array<bigint>")
