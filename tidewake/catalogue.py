@@ -114,14 +114,15 @@ def p20_p36_p42_pr_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("checks", """SELECT grp, idx, count(*) AS suites, count(pr) AS in_prs, count(CASE WHEN ok THEN 1 END) AS successful, round(count(CASE WHEN ok THEN 1 END) / count(*), 9) AS success_ratio, CAST(trunc(CAST(sum(e - s) AS DOUBLE) / count(*)) AS BIGINT) AS suite_time, round(avg(CASE WHEN n > 1 AND e > s THEN busy / (n * (e - s)) END), 6) AS occupancy FROM (
-  SELECT grp, suite, min(started) AS s, max(completed) AS e, arg_min(ok, event_id) AS ok, arg_min(pr, event_id) AS pr, count(*) AS n, sum(completed - started) AS busy FROM checks GROUP BY ALL) JOIN steps ON s >= ts_from AND s < ts_to GROUP BY ALL""")
+@query("checks", """SELECT grp, idx, count(*) AS suites, count(pr) AS in_prs, count(CASE WHEN conclusion IN ('SUCCESS', 'NEUTRAL') THEN 1 END) AS successful, round(count(CASE WHEN conclusion IN ('SUCCESS', 'NEUTRAL') THEN 1 END) / count(*), 9) AS success_ratio, CAST(trunc(CAST(sum(e - f.started) AS DOUBLE) / count(*)) AS BIGINT) AS suite_time, round(avg(CASE WHEN n > 1 AND e > s THEN busy / (n * (e - s)) END), 6) AS occupancy
+  FROM firsts f JOIN (SELECT suite, min(started) AS s, max(completed) AS e, count(*) AS n, sum(completed - started) AS busy FROM checks GROUP BY ALL) USING (suite) JOIN steps ON f.started >= ts_from AND f.started < ts_to GROUP BY ALL""", "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY started, event_id) AS r FROM checks WHERE conclusion <> 'SKIPPED') WHERE r = 1)")
 def c01_c05_c14_chk_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suites (C01: the first run speaks for its suite), counts C02-C04, time C05 and occupancy C14."""
-    suites = facts(spark, sf_dir, "checks").groupBy("grp", "suite").agg(F.min("started").alias("s"), F.max("completed").alias("e"), F.min_by("ok", "event_id").alias("ok"), F.min(F.when(F.col("pr").isNotNull(), F.struct("event_id", "pr"))).alias("p"), F.count("*").alias("n"), F.sum(F.col("completed") - F.col("started")).alias("busy"))
-    cells = binned(suites.withColumn("pr", F.col("p.pr")), steps("checks"), "s").groupBy("grp", "idx")
-    good = F.count(F.when(F.col("ok"), 1))
-    return cells.agg(F.count("*").alias("suites"), F.count("pr").alias("in_prs"), good.alias("successful"), F.round(good / F.count("*"), 9).alias("success_ratio"), (F.sum(F.expr("e - s")) / F.count("*")).cast("bigint").alias("suite_time"), F.round(F.avg(F.expr("CASE WHEN n > 1 AND e > s THEN busy / (n * (e - s)) END")), 6).alias("occupancy"))
+    """Suites (C01: the first run that isn't skipped speaks for its suite), counts C02-C04, time C05 and occupancy C14."""
+    first = F.min(F.when(F.col("conclusion") != "SKIPPED", F.struct("started", "event_id", "conclusion", "pr"))).alias("first")
+    suites = facts(spark, sf_dir, "checks").groupBy("grp", "suite").agg(first, F.min("started").alias("s"), F.max("completed").alias("e"), F.count("*").alias("n"), F.sum(F.col("completed") - F.col("started")).alias("busy")).where("first is not null")
+    cells = binned(suites.select("*", "first.started", "first.conclusion", "first.pr"), steps("checks"), "started").groupBy("grp", "idx")
+    good = F.count(F.when(F.col("conclusion").isin("SUCCESS", "NEUTRAL"), 1))
+    return cells.agg(F.count("*").alias("suites"), F.count("pr").alias("in_prs"), good.alias("successful"), F.round(good / F.count("*"), 9).alias("success_ratio"), (F.sum(F.expr("e - started")) / F.count("*")).cast("bigint").alias("suite_time"), F.round(F.avg(F.expr("CASE WHEN n > 1 AND e > s THEN busy / (n * (e - s)) END")), 6).alias("occupancy"))
 
 
 @query("checks", "SELECT grp, idx, count(*) AS flaky_commits FROM (SELECT grp, commit, min(s) AS s FROM (SELECT grp, commit, name, min(started) AS s FROM checks GROUP BY ALL HAVING bool_or(ok) AND bool_or(conclusion = 'FAILURE')) GROUP BY ALL) JOIN steps ON s >= ts_from AND s < ts_to GROUP BY ALL")
@@ -218,4 +219,4 @@ def e05_e07_group_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir, "prs").withColumn("lines_group", bucket(F.col("size"), [20, 50, 100, 150])).where("lines_group is not null").groupBy("lines_group", "grp").agg(F.count("*").alias("prs"))
 
 
-from .operators import checks, groups, history, lists, records, reviews, streams, tracker  # noqa: E402, F401  they register their queries
+from .operators import bootstrap, checks, groups, histograms, history, identities, lists, rebased, records, reruns, reviews, stored, streams, tracker  # noqa: E402, F401  they register their queries

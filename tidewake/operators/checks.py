@@ -74,13 +74,6 @@ def c20_outcome_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.groupBy("suite").agg(F.count_if("s").alias("success"), F.count_if("f").alias("failure"), F.count_if("k").alias("skipped"))
 
 
-@query("checks", "SELECT suite, epoch, count(*) AS runs FROM (SELECT suite, row_number() OVER (PARTITION BY suite, name ORDER BY started, event_id) AS epoch FROM checks) GROUP BY ALL")
-def c22_split_reruns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A repeated check name in a suite opens a new virtual suite: the n-th run of a name is in the n-th one."""
-    w = Window.partitionBy("suite", "name").orderBy("started", "event_id")
-    return facts(spark, sf_dir, "checks").withColumn("epoch", F.row_number().over(w)).groupBy("suite", "epoch").agg(F.count("*").alias("runs"))
-
-
 @query("checks", "SELECT s.suite, CASE WHEN k.typical <= 20 THEN NULL ELSE s.e END AS suite_end FROM ends s JOIN kinds k USING (kind)", "ends AS (SELECT suite, list_sort(list(DISTINCT name)) AS kind, max(greatest(started, CASE WHEN conclusion <> 'NEUTRAL' THEN completed END)) AS e, min(started) AS a FROM checks GROUP BY 1), kinds AS (SELECT kind, median(e - a) AS typical FROM ends GROUP BY 1)")
 def c24_suite_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suite ends, with neutral runs' ends left out; kinds of suites (same set of names) with a median of 20 seconds or less lose theirs."""

@@ -1,88 +1,52 @@
-"""Commit-graph operators by chains: reachability is kept as a position on each first-parent chain.
-
-A commit reaches all commits before it on its own chain; a merge also reaches
-its second parent's chain up to that parent. So the ancestors of a head are one
-position a chain, and a round of the search crosses from one chain to others by
-an equi join, however long the chains are. All heads of all repositories advance
-in the same round.
-"""
+"""The stand-in history: events taken as the commits of two branches a repository, and its edge list."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-REPO_CHAIN = ["repo", "chain"]
+from ..sources.store import remembered
+from . import dag
+
+REPO_BRANCH = ["repo", "branch"]
 
 
-def chained_commits(events: DataFrame) -> DataFrame:
-    """(sha, repo, kind, started, k, chain, pos, is_merge, side_chain, side_pos) of events taken as commits.
+def branched_commits(events: DataFrame) -> DataFrame:
+    """(sha, repo, kind, started, k, branch, n, is_merge, side_branch, side_n) of events taken as commits.
 
-    Two chains a repository; a merge's second parent is the latest commit of the
-    other chain before it, at ``side_pos`` (null where there is none).
+    Two branches a repository; ``n`` counts a branch's commits. A merge's second
+    parent is the latest commit of the other branch before it, its ``side_n``-th.
     """
-    rows = events.select(F.col("event_id").alias("sha"), F.col("user_id").alias("repo"), F.col("event_type").alias("kind"), "started", "k", "grp", (F.col("k") % 2).cast("int").alias("chain"))
+    rows = events.select(F.col("event_id").alias("sha"), F.col("user_id").alias("repo"), F.col("event_type").alias("kind"), "started", "k", "grp", (F.col("k") % 2).cast("int").alias("branch"))
     w = Window.partitionBy("repo").orderBy("started", "sha").rowsBetween(Window.unboundedPreceding, 0)
-    upto = [F.sum((F.col("chain") == c).cast("int")).over(w) for c in (0, 1)]
-    own, other = F.when(F.col("chain") == 0, F.col("n0")).otherwise(F.col("n1")), F.when(F.col("chain") == 0, F.col("n1")).otherwise(F.col("n0"))
-    rows = rows.withColumn("n0", upto[0]).withColumn("n1", upto[1]).withColumn("pos", own).withColumn("other", other)
+    upto = [F.sum((F.col("branch") == c).cast("int")).over(w) for c in (0, 1)]
+    own, other = F.when(F.col("branch") == 0, F.col("n0")).otherwise(F.col("n1")), F.when(F.col("branch") == 0, F.col("n1")).otherwise(F.col("n0"))
+    rows = rows.withColumn("n0", upto[0]).withColumn("n1", upto[1]).withColumn("n", own).withColumn("other", other)
     merge = (F.col("kind") == "signup") & (F.col("other") > 0)
-    return rows.withColumn("is_merge", merge).withColumn("side_chain", F.when(merge, 1 - F.col("chain"))).withColumn("side_pos", F.when(merge, F.col("other"))).drop("n0", "n1", "other")
+    return rows.withColumn("is_merge", merge).withColumn("side_branch", F.when(merge, 1 - F.col("branch"))).withColumn("side_n", F.when(merge, F.col("other"))).drop("n0", "n1", "other")
 
 
 def edges_of(commits: DataFrame) -> DataFrame:
     """(repo, child, parent, parent_index)."""
-    at = commits.select("repo", F.col("chain").alias("c"), F.col("pos").alias("p"), F.col("sha").alias("parent"))
-    wanted = commits.select("repo", F.col("sha").alias("child"), F.col("chain").alias("c"), (F.col("pos") - 1).alias("p"), F.lit(0).alias("parent_index"))
-    side = commits.where("is_merge").select("repo", F.col("sha").alias("child"), F.col("side_chain").alias("c"), F.col("side_pos").alias("p"), F.lit(1).alias("parent_index"))
+    at = commits.select("repo", F.col("branch").alias("c"), F.col("n").alias("p"), F.col("sha").alias("parent"))
+    wanted = commits.select("repo", F.col("sha").alias("child"), F.col("branch").alias("c"), (F.col("n") - 1).alias("p"), F.lit(0).alias("parent_index"))
+    side = commits.where("is_merge").select("repo", F.col("sha").alias("child"), F.col("side_branch").alias("c"), F.col("side_n").alias("p"), F.lit(1).alias("parent_index"))
     return wanted.where("p > 0").unionByName(side).join(at, ["repo", "c", "p"]).select("repo", "child", "parent", "parent_index")
 
 
-def jumps_of(commits: DataFrame) -> DataFrame:
-    """(repo, chain, pos, to_chain, to_pos): how far each position of a chain reaches on another by merges up to it."""
-    pairs = commits.where("is_merge").select("repo", "chain", "side_chain").distinct().withColumnRenamed("side_chain", "to_chain")
-    w = Window.partitionBy("repo", "chain", "to_chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    far = F.max(F.when(F.col("side_chain") == F.col("to_chain"), F.col("side_pos"))).over(w)
-    return commits.join(pairs, REPO_CHAIN).withColumn("to_pos", far).where("to_pos is not null").select("repo", "chain", "pos", "to_chain", "to_pos")
-
-
-def reach(commits: DataFrame, heads: DataFrame, rounds: int = 64) -> DataFrame:
-    """(head, repo, chain, upto): how far each head reaches on each chain, itself included. heads: (head, sha).
+class History(NamedTuple):
+    """Commits with their facts and places, their edges, and the graph that is searched."""
 
-    Rounds end when no position moves; each is checkpointed, so lineage stays
-    short and lost executors cost one round.
-    """
-    jumps = jumps_of(commits)
-    now = heads.join(commits.select("sha", "repo", "chain", F.col("pos").alias("upto")), "sha").select("head", "repo", "chain", "upto")
-    seen = None
-    for _ in range(rounds):
-        across = now.withColumnRenamed("upto", "pos").join(jumps, ["repo", "chain", "pos"]).select("head", "repo", F.col("to_chain").alias("chain"), F.col("to_pos").alias("upto"))
-        now = now.unionByName(across).groupBy("head", "repo", "chain").agg(F.max("upto").alias("upto"))
-        now = now.checkpoint() if now.sparkSession.sparkContext.getCheckpointDir() else now.persist()
-        mark = now.agg(F.count("*"), F.sum("upto")).first()
-        if mark == seen:
-            break
-        seen = mark
-    return now
-
-
-def owners(commits: DataFrame, heads: DataFrame, extent: DataFrame | None = None) -> DataFrame:
-    """(sha, repo, chain, pos, owner, owner_rank): the earliest head, by ``rank``, that reaches each commit. heads: (head, sha, rank).
-
-    On a chain, a head that reaches a position reaches all before it, so the
-    earliest one is a running minimum from the end of the chain.
-    """
-    extent = reach(commits, heads.select("head", "sha")) if extent is None else extent
-    marks = extent.join(heads.select("head", "rank"), "head").select("repo", "chain", F.col("upto").alias("pos"), F.struct("rank", "head").alias("mark"), F.lit(None).cast("long").alias("sha"))
-    marks = marks.groupBy("repo", "chain", "pos", "sha").agg(F.min("mark").alias("mark"))
-    both = commits.select("repo", "chain", "pos", F.lit(None).cast("struct<rank:bigint,head:bigint>").alias("mark"), "sha").unionByName(marks.select("repo", "chain", "pos", F.col("mark").cast("struct<rank:bigint,head:bigint>").alias("mark"), "sha"))
-    w = Window.partitionBy(*REPO_CHAIN).orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("mark", F.min("mark").over(w)).where("sha is not null and mark is not null").select("sha", "repo", "chain", "pos", F.col("mark.head").alias("owner"), F.col("mark.rank").alias("owner_rank"))
+    rows: DataFrame
+    edges: DataFrame
+    graph: dag.Graph
 
 
-def between(commits: DataFrame, extent: DataFrame, stop: DataFrame) -> DataFrame:
-    """(head, sha): ancestors of each head that its own stop list doesn't reach. Both sides: (head, repo, chain, upto)."""
-    low = stop.groupBy("head", "repo", "chain").agg(F.max("upto").alias("low"))
-    spans = extent.join(low, ["head", "repo", "chain"], "left").withColumn("low", F.coalesce("low", F.lit(0))).where("upto > low")
-    points = spans.select("head", "repo", "chain", F.explode(F.sequence(F.col("low") + 1, F.col("upto"))).alias("pos"))
-    return points.join(commits.select("repo", "chain", "pos", "sha"), ["repo", "chain", "pos"]).select("head", "sha")
+def history_of(spark: SparkSession, sf_dir: str, commits: DataFrame) -> History:
+    """The history of stand-in commits. Chains, positions and crossings come from the edge list alone and are stored until the events change."""
+    edges, source = edges_of(commits), [f"{sf_dir}/events.parquet"]
+    places = remembered(spark, "commit-places", source, lambda: dag.placed(edges, commits))
+    crossings = remembered(spark, "commit-crossings", source, lambda: dag.graph_of(edges, places=places).crossings)
+    return History(commits.join(places, "sha"), edges, dag.Graph(places, crossings))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import facts, query, steps
-from ..functions.intervals import binned
+from ..functions.intervals import binned, dense
+from .metrics import RESOLUTION
 
 _TRAITS = "traits AS (SELECT l_orderkey AS node_id, list(DISTINCT split_part(p_type, ' ', 1)) AS types, max(p_size) AS priority FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)"
 
@@ -79,13 +80,25 @@ def e02_mean_with_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("grp", "idx", "n", F.round("m", 4).alias("mean"), F.round(F.col("m") - half, 4).alias("low"), F.round(F.col("m") + half, 4).alias("high"))
 
 
-@query("issues", "SELECT grp, idx, round((coalesce(f, 0) + 1) / (coalesce(r, 0) + 1), 9) AS rate FROM (SELECT grp, idx, count(*) AS r FROM issues JOIN steps ON created >= ts_from AND created < ts_to GROUP BY ALL) FULL JOIN (SELECT grp, idx, count(*) AS f FROM issues JOIN steps ON resolved >= ts_from AND resolved < ts_to GROUP BY ALL) USING (grp, idx)")
+_ENDED = "ended AS (SELECT grp, CASE WHEN prs_began IS NULL THEN resolved WHEN prs_released >= resolved THEN prs_released WHEN prs_released < resolved THEN resolved END AS ended_at FROM issues)"
+
+
+@query("issues", "SELECT grp, idx, round((coalesce(f, 0) + 1) / (coalesce(r, 0) + 1), 9) AS rate FROM (SELECT grp, idx, count(*) AS r FROM issues JOIN steps ON created >= ts_from AND created < ts_to GROUP BY ALL) FULL JOIN (SELECT grp, idx, count(*) AS f FROM ended JOIN steps ON ended_at >= ts_from AND ended_at < ts_to GROUP BY ALL) USING (grp, idx)", _ENDED)
 def j04_resolution_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts(spark, sf_dir, "issues").select("grp", F.expr("stack(2, bigint(created), 1, 0, bigint(resolved), 0, 1) as (at, r, f)"))
+    """Issues that ended to issues raised, both plus 1; an issue with requests ends when it is resolved and all of them are released."""
+    rows = facts(spark, sf_dir, "issues").select("grp", F.explode(F.array(F.struct(F.col("created").alias("at"), F.lit(1).alias("r"), F.lit(0).alias("f")), F.struct(F.expr(RESOLUTION).alias("at"), F.lit(0).alias("r"), F.lit(1).alias("f")))).alias("e")).select("grp", "e.*")
     cells = binned(rows, steps("issues"), "at").groupBy("grp", "idx").agg(F.sum("r").alias("r"), F.sum("f").alias("f"))
     return cells.select("grp", "idx", F.round((F.col("f") + 1) / (F.col("r") + 1), 9).alias("rate"))
 
 
+@query("actions", "SELECT user_id, idx, CASE WHEN EXISTS (SELECT 1 FROM actions a WHERE a.user_id = u.user_id AND a.started >= ts_from AND a.started < ts_to AND a.topic IN ('click', 'signup', 'view', 'error', 'purchase')) THEN 1 ELSE 0 END AS worked FROM (SELECT DISTINCT user_id FROM actions JOIN steps ON started >= ts_from AND started < ts_to) u CROSS JOIN steps")
+def v09_dev_worked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 for each developer and interval with any commit, request, review, comment or release, else 0."""
+    rows = facts(spark, sf_dir, "actions").where(F.col("topic").isin("click", "signup", "view", "error", "purchase"))
+    cells = binned(rows, steps("actions"), "started").groupBy("user_id", "idx").agg(F.lit(1).cast("bigint").alias("worked"))
+    return dense(cells, len(steps("actions")) - 1, ("user_id",), ["worked"])
+
+
 @query("issues", "SELECT CASE id % 3 WHEN 0 THEN 'team a' WHEN 1 THEN 'team b' END AS people_group, count(*) AS issues FROM issues WHERE id % 3 < 2 GROUP BY 1 UNION ALL SELECT 'everyone', count(*) FROM issues")
 def j11_issues_by_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues by groups of people (reporters: id modulo 3), and a group of all."""
@@ -111,8 +124,8 @@ def v05_prs_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v11_code_bypassing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits a week, and those that no request brought: neither merges nor on a side branch up to its last merge."""
     rows = facts(spark, sf_dir, "commits")
-    merged = rows.where("is_merge and chain = 0").groupBy("repo", F.col("side_chain").alias("chain")).agg(F.max("side_pos").alias("upto"))
-    flagged = rows.join(merged, ["repo", "chain"], "left").withColumn("bypass", ~F.col("is_merge") & ~F.coalesce(F.col("pos") <= F.col("upto"), F.lit(False)))
+    merged = rows.where("is_merge and branch = 0").groupBy("repo", F.col("side_branch").alias("branch")).agg(F.max("side_n").alias("upto"))
+    flagged = rows.join(merged, ["repo", "branch"], "left").withColumn("bypass", ~F.col("is_merge") & ~F.coalesce(F.col("n") <= F.col("upto"), F.lit(False)))
     return flagged.groupBy("repo", F.expr("started div 604800").alias("week")).agg(F.count("*").alias("commits"), F.count_if("bypass").alias("bypassing"), F.sum("k").alias("lines"))
 
 

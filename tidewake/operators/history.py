@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import facts, query
-from . import graph
+from . import dag, graph
 
 #: Days of the windows below; the stand-in history spans about a month.
 SPAN = 10 * 86400
@@ -16,14 +16,18 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir, "commits")
 
 
+def past(spark: SparkSession, sf_dir: str) -> graph.History:
+    return graph.history_of(spark, sf_dir, commits(spark, sf_dir))
+
+
 def tags(rows: DataFrame) -> DataFrame:
-    """Tagged commits: purchases on the main chain; the tag's name comes from k, so names repeat."""
-    return rows.where("kind = 'purchase' and chain = 0").select("sha", "repo", F.col("started").alias("published"), F.concat(F.lit("v"), (F.col("k") / 10).cast("int").cast("string")).alias("tag"), "k", "pos")
+    """Tagged commits: purchases on the main branch; the tag's name comes from k, so names repeat."""
+    return rows.where("kind = 'purchase' and branch = 0").select("sha", "repo", F.col("started").alias("published"), F.concat(F.lit("v"), (F.col("k") / 10).cast("int").cast("string")).alias("tag"), "k")
 
 
 def pulls(rows: DataFrame) -> DataFrame:
-    """Merged pull requests: merges of the side chain into the main one."""
-    return rows.where("is_merge and chain = 0").select(F.col("sha").alias("pr"), "repo", F.col("started").alias("merged"), "pos", "side_chain", "side_pos", "k")
+    """Merged pull requests: merges of the side branch into the main one."""
+    return rows.where("is_merge and branch = 0").select(F.col("sha").alias("pr"), "repo", F.col("started").alias("merged"), "k")
 
 
 def heads_of(found: DataFrame) -> DataFrame:
@@ -31,8 +35,8 @@ def heads_of(found: DataFrame) -> DataFrame:
     return found.select(F.col("sha").alias("head"), "sha", (F.col("published") * 10_000_000 + F.col("sha")).alias("rank"))
 
 
-def ownership(rows: DataFrame) -> DataFrame:
-    return graph.owners(rows, heads_of(tags(rows)))
+def ownership(h: graph.History) -> DataFrame:
+    return dag.owners(h.graph, heads_of(tags(h.rows)))
 
 
 _ANC = "anc(head, sha) AS (SELECT sha, sha FROM tags UNION SELECT head, parent FROM anc JOIN edges ON child = sha)"
@@ -45,65 +49,64 @@ def g00_commit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges_of(commits(spark, sf_dir)).select("child", "parent", "parent_index")
 
 
+@query("commits", "SELECT sha, arg_max(sha, started * 10000000 + sha) OVER w = sha AS newest, count(*) OVER (PARTITION BY repo, chain ORDER BY started, sha ROWS UNBOUNDED PRECEDING) AS pos FROM commits WINDOW w AS (PARTITION BY repo, chain)")
+def g00_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each commit's place on the chain computed from edges, and whether it ends it; here chains are the branches that the edges came from."""
+    h = past(spark, sf_dir)
+    ends = h.graph.commits.groupBy("chain").agg(F.max("pos").alias("top"))
+    return h.graph.commits.join(ends, "chain").select("sha", (F.col("pos") == F.col("top")).alias("newest"), "pos")
+
+
 @query("commits", "SELECT sha FROM anc", "main(sha) AS (SELECT arg_max(sha, started * 10000000 + sha) FROM commits WHERE chain = 0 GROUP BY repo), anc(sha) AS (SELECT sha FROM main UNION SELECT parent FROM anc JOIN edges ON child = sha)")
 def g01_reachable_from_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of the head of each repository's main branch."""
-    rows = commits(spark, sf_dir)
-    main = rows.where("chain = 0").groupBy("repo").agg(F.max_by("sha", "pos").alias("sha"))
-    extent = graph.reach(rows, main.select(F.col("sha").alias("head"), "sha"))
-    return rows.join(extent.select("repo", "chain", "upto"), graph.REPO_CHAIN).where("pos <= upto").select("sha")
+    h = past(spark, sf_dir)
+    main = h.rows.where("branch = 0").groupBy("repo").agg(F.max_by("sha", "n").alias("sha"))
+    return dag.commits_of(h.graph, dag.reach(h.graph, main.select(F.col("sha").alias("head"), "sha"))).select("sha")
 
 
 @query("commits", "SELECT sha, owner FROM own", _OWN)
 def g02_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each commit with the earliest tagged commit that reaches it."""
-    return ownership(commits(spark, sf_dir)).select("sha", "owner")
+    return ownership(past(spark, sf_dir)).select("sha", "owner")
 
 
 @query("commits", "SELECT DISTINCT a.owner AS head, b.owner AS parent FROM edges JOIN own a ON a.sha = child JOIN own b ON b.sha = edges.parent WHERE a.owner <> b.owner AND a.owner NOT IN (SELECT owner FROM own WHERE sha NOT IN (SELECT child FROM edges))", _OWN)
 def g03_parents_between_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Older heads met first on the way down from each head; heads that own a root have none."""
-    rows = commits(spark, sf_dir)
-    own = ownership(rows)
-    edges = graph.edges_of(rows)
-    roots = own.join(edges.select(F.col("child").alias("sha")).distinct(), "sha", "left_anti").select(F.col("owner").alias("head")).distinct()
-    met = edges.join(own.select(F.col("sha").alias("child"), F.col("owner").alias("head")), "child").join(own.select(F.col("sha").alias("parent"), F.col("owner").alias("older")), "parent").where("head <> older")
-    return met.join(roots, "head", "left_anti").select("head", F.col("older").alias("parent")).distinct()
+    h = past(spark, sf_dir)
+    return dag.heads_between(h.edges, ownership(h).select("sha", "owner"))
 
 
 @query("commits", "SELECT m.sha AS pr, m.sha AS sha FROM merges m UNION SELECT s.pr, s.sha FROM side s WHERE NOT EXISTS (SELECT 1 FROM mainline x WHERE x.pr = s.pr AND x.sha = s.sha)", """merges AS (SELECT c.sha, e0.parent AS main, e1.parent AS branch FROM commits c JOIN edges e1 ON e1.child = c.sha AND e1.idx = 1 LEFT JOIN edges e0 ON e0.child = c.sha AND e0.idx = 0 WHERE chain = 0),
 side(pr, sha) AS (SELECT sha, branch FROM merges UNION SELECT pr, parent FROM side JOIN edges ON child = side.sha), mainline(pr, sha) AS (SELECT sha, main FROM merges WHERE main IS NOT NULL UNION SELECT pr, parent FROM mainline JOIN edges ON child = mainline.sha)""")
 def g04_commits_of_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merged request's commits: ancestors of the side parent that the main parent doesn't reach, and the merge."""
-    rows = commits(spark, sf_dir)
-    return pull_commits(rows).select("pr", "sha")
+    return pull_commits(past(spark, sf_dir)).select("pr", "sha")
 
 
-def pull_commits(rows: DataFrame) -> DataFrame:
-    edges, merges = graph.edges_of(rows), pulls(rows).select(F.col("pr").alias("child"))
-    both = edges.join(merges, "child")
-    side = graph.reach(rows, both.where("parent_index = 1").select(F.col("child").alias("head"), F.col("parent").alias("sha")))
-    main = graph.reach(rows, both.where("parent_index = 0").select(F.col("child").alias("head"), F.col("parent").alias("sha")))
-    found = graph.between(rows, side, main).unionByName(merges.select(F.col("child").alias("head"), F.col("child").alias("sha")))
-    return found.withColumnRenamed("head", "pr")
+def pull_commits(h: graph.History) -> DataFrame:
+    """(pr, sha): a commit belongs to the first commit of the main branch that reaches it, so one pass finds those of all merges."""
+    main = h.rows.where("branch = 0").select(F.col("sha").alias("head"), "sha", F.col("n").alias("rank"))
+    return dag.owners(h.graph, main).select(F.col("owner").alias("pr"), "sha").join(pulls(h.rows).select("pr"), "pr", "left_semi")
 
 
-@query("commits", "SELECT sha, depth FROM chain_walk", "top(sha) AS (SELECT arg_max(sha, started * 10000000 + sha) FROM commits GROUP BY repo, chain), chain_walk(sha, depth) AS (SELECT sha, 0 FROM top UNION SELECT parent, depth + 1 FROM chain_walk JOIN edges ON child = sha AND idx = 0 WHERE depth < 9)")
+@query("commits", "SELECT sha, depth FROM chain_walk", "top(sha) AS (SELECT arg_max(sha, started * 10000000 + sha) FROM commits GROUP BY repo, chain), chain_walk(sha, depth) AS (SELECT sha, 0 FROM top UNION SELECT parent, depth + 1 FROM chain_walk JOIN edges ON child = sha AND idx = 0)")
 def g05_first_parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten commits down the first parents of each branch head."""
-    rows = commits(spark, sf_dir)
-    top = rows.groupBy(*graph.REPO_CHAIN).agg(F.max("pos").alias("top"))
-    return rows.join(top, graph.REPO_CHAIN).withColumn("depth", (F.col("top") - F.col("pos")).cast("int")).where("depth < 10").select("sha", "depth")
+    """The walk down first parents from each branch head, to the end."""
+    h = past(spark, sf_dir)
+    top = h.rows.groupBy(*graph.REPO_BRANCH).agg(F.max_by("sha", "n").alias("sha"))
+    return dag.first_parents(h.graph, h.edges, top.select(F.col("sha").alias("head"), "sha")).select("sha", "depth")
 
 
 @query("commits", "SELECT head, sha FROM anc WHERE NOT EXISTS (SELECT 1 FROM below b WHERE b.head = anc.head AND b.sha = anc.sha)", f"{_ANC}, stops AS (SELECT sha AS head, lag(sha) OVER (PARTITION BY repo, k % 3 ORDER BY published, sha) AS stop FROM tags), below(head, sha) AS (SELECT head, stop FROM stops WHERE stop IS NOT NULL UNION SELECT head, parent FROM below JOIN edges ON child = below.sha)")
 def g06_independent_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per tag, its ancestors that the tag before it in its own line (k mod 3) doesn't reach."""
-    rows = commits(spark, sf_dir)
-    found = tags(rows)
+    h = past(spark, sf_dir)
+    found = tags(h.rows)
     w = Window.partitionBy("repo", F.col("k") % 3).orderBy("published", "sha")
     stops = found.withColumn("stop", F.lag("sha").over(w)).where("stop is not null").select(F.col("sha").alias("head"), F.col("stop").alias("sha"))
-    return graph.between(rows, graph.reach(rows, found.select(F.col("sha").alias("head"), "sha")), graph.reach(rows, stops))
+    return dag.commits_of(h.graph, dag.reach(h.graph, found.select(F.col("sha").alias("head"), "sha")), dag.reach(h.graph, stops))
 
 
 @query("commits", "SELECT parent AS sha, count(*) AS n_children, min(child) AS first_child, max(child) AS last_child FROM edges GROUP BY 1")
@@ -129,11 +132,30 @@ def g08_integrity_of_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("commits", "SELECT repo, count(DISTINCT sha) AS commits, count(DISTINCT branch) AS branches FROM (SELECT b.repo, b.chain AS branch, a.sha FROM anc a JOIN top b ON b.sha = a.head) GROUP BY 1", "top AS (SELECT repo, chain, arg_max(sha, started * 10000000 + sha) AS sha FROM commits GROUP BY ALL), anc(head, sha) AS (SELECT sha, sha FROM top UNION SELECT head, parent FROM anc JOIN edges ON child = sha)")
 def g09_commits_of_all_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits that the heads of a repository's branches reach, and the number of branches."""
-    rows = commits(spark, sf_dir)
-    top = rows.groupBy(*graph.REPO_CHAIN).agg(F.max_by("sha", "pos").alias("sha"))
-    extent = graph.reach(rows, top.select(F.col("sha").alias("head"), "sha"))
-    furthest = extent.groupBy(*graph.REPO_CHAIN).agg(F.max("upto").alias("upto"))
-    return furthest.groupBy("repo").agg(F.sum("upto").alias("commits")).join(top.groupBy("repo").agg(F.count("*").alias("branches")), "repo")
+    h = past(spark, sf_dir)
+    top = h.rows.groupBy(*graph.REPO_BRANCH).agg(F.max_by("sha", "n").alias("sha"))
+    extent = dag.reach(h.graph, top.select(F.col("repo").alias("head"), "sha"))
+    return extent.groupBy(F.col("head").alias("repo")).agg(F.sum("upto").alias("commits")).join(top.groupBy("repo").agg(F.count("*").alias("branches")), "repo")
+
+
+@query("commits", "SELECT e.child, e.parent, e.idx AS parent_index, b.sha IS NOT NULL AS seed FROM lossy e JOIN bad USING (child) LEFT JOIN seeds b ON b.sha = e.child", "lossy AS (SELECT e.child, CASE WHEN c.k = 7 AND c.kind = 'signup' THEN NULL ELSE e.parent END AS parent, e.idx FROM edges e JOIN commits c ON c.sha = e.parent WHERE NOT (e.idx = 0 AND e.child % 149 = 0 AND EXISTS (SELECT 1 FROM edges o WHERE o.child = e.child AND o.idx = 1))), seeds AS (SELECT child AS sha FROM lossy GROUP BY 1 HAVING count(*) <> count(parent) OR max(idx) + 1 <> count(*)), bad(child) AS (SELECT sha FROM seeds UNION SELECT l.child FROM bad b JOIN lossy l ON l.parent = b.child)")
+def g08_tainted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that a lossy load taints: here it drops some parents, and the first of some merges' two."""
+    h = past(spark, sf_dir)
+    odd = h.rows.select(F.col("sha").alias("parent"), F.expr("k = 7 and kind = 'signup'").alias("lost"))
+    merges = h.edges.where("parent_index = 1").select("child")
+    half = h.edges.where("parent_index = 0 and child % 149 = 0").join(merges, "child", "left_semi").select("child", "parent_index")
+    lossy = h.edges.join(odd, "parent").select("child", F.when(~F.col("lost"), F.col("parent")).alias("parent"), "parent_index").join(half, ["child", "parent_index"], "left_anti")
+    return dag.tainted_edges(lossy)
+
+
+@query("commits", "SELECT root, sha AS child FROM up WHERE sha <> root", "partial AS (SELECT e.child, e.parent FROM edges e JOIN commits c ON c.sha = e.child WHERE c.k % 23 <> 0), up(root, sha) AS (SELECT DISTINCT parent, parent FROM partial WHERE parent NOT IN (SELECT child FROM partial) AND parent IN (SELECT child FROM edges) UNION SELECT root, child FROM up JOIN partial ON parent = sha)")
+def g08_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What hangs on commits whose parents a partial load lacks (k divisible by 23); true roots are known and attach."""
+    h = past(spark, sf_dir)
+    partial = h.edges.join(h.rows.where("k % 23 <> 0").select(F.col("sha").alias("child")), "child", "left_semi")
+    known = h.rows.select("sha").join(h.edges.select(F.col("child").alias("sha")), "sha", "left_anti")
+    return dag.orphans(partial, known)
 
 
 _RULE = "CASE repo % 3 WHEN 0 THEN 'v[0-4]' WHEN 1 THEN 'v.*' ELSE '.*[13579]' END"
@@ -163,7 +185,7 @@ def r11_match_by_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each first-parent commit of the main branch in the last ten days is a release."""
     rows = commits(spark, sf_dir)
     end = rows.agg(F.max("started").alias("end"))
-    return rows.where("chain = 0").join(F.broadcast(end), F.expr(f"started >= end - {SPAN}")).select("sha", "repo", F.col("started").alias("published"))
+    return rows.where("branch = 0").join(F.broadcast(end), F.expr(f"started >= end - {SPAN}")).select("sha", "repo", F.col("started").alias("published"))
 
 
 @query("commits", "SELECT n.event_id AS notification, min(c.sha) AS sha FROM ev n JOIN commits c ON c.repo = n.user_id AND substr(md5(CAST(c.sha AS VARCHAR)), 1, 7) = substr(md5(CAST(n.event_id - n.event_id % 7 AS VARCHAR)), 1, 7) WHERE n.event_type = 'error' GROUP BY 1")
@@ -193,11 +215,11 @@ def r14_distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MINED = f"{_OWN}, mined AS (SELECT t.sha AS release, t.repo, t.tag, t.published, count(*) AS commits, count(DISTINCT c.k % 17) AS authors, CAST(sum(c.k) AS BIGINT) AS lines, count(CASE WHEN c.is_merge AND c.chain = 0 THEN 1 END) AS prs, t.published - coalesce(lag(t.published) OVER (PARTITION BY t.repo ORDER BY t.published, t.sha), min(c.started)) AS age FROM tags t JOIN own o ON o.owner = t.sha JOIN commits c ON c.sha = o.sha GROUP BY t.sha, t.repo, t.tag, t.published)"
 
 
-def mined_releases(rows: DataFrame) -> DataFrame:
+def mined_releases(h: graph.History) -> DataFrame:
     """Releases with what they own: commits, authors, lines, requests, age since the release before (the first: since its first commit)."""
-    own = ownership(rows).select("sha", "owner")
-    held = own.join(rows.select("sha", "k", "started", "is_merge", "chain"), "sha").groupBy(F.col("owner").alias("sha")).agg(
-        F.count("*").alias("commits"), F.countDistinct(F.col("k") % 17).alias("authors"), F.sum("k").alias("lines"), F.count(F.when(F.col("is_merge") & (F.col("chain") == 0), 1)).alias("prs"), F.min("started").alias("began")
+    own, rows = ownership(h).select("sha", "owner"), h.rows
+    held = own.join(rows.select("sha", "k", "started", "is_merge", "branch"), "sha").groupBy(F.col("owner").alias("sha")).agg(
+        F.count("*").alias("commits"), F.countDistinct(F.col("k") % 17).alias("authors"), F.sum("k").alias("lines"), F.count(F.when(F.col("is_merge") & (F.col("branch") == 0), 1)).alias("prs"), F.min("started").alias("began")
     )
     before = F.lag("published").over(Window.partitionBy("repo").orderBy("published", "sha"))
     return tags(rows).join(held, "sha").withColumn("age", F.col("published") - F.coalesce(before, "began")).withColumnRenamed("sha", "release")
@@ -205,40 +227,43 @@ def mined_releases(rows: DataFrame) -> DataFrame:
 
 @query("commits", "SELECT release, repo, commits, authors, lines, prs, age FROM mined", _MINED)
 def r15_mined_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mined_releases(commits(spark, sf_dir)).select("release", "repo", "commits", "authors", "lines", "prs", "age")
+    return mined_releases(past(spark, sf_dir)).select("release", "repo", "commits", "authors", "lines", "prs", "age")
 
 
 @query("commits", "SELECT DISTINCT o.owner AS release FROM own o JOIN commits c USING (sha) WHERE c.k % 17 IN (3, 5)", _OWN)
 def r09_r16_releases_by_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Releases with a commit by one of the wanted authors."""
-    rows = commits(spark, sf_dir)
-    return ownership(rows).join(rows.where(F.expr("k % 17 in (3, 5)")).select("sha"), "sha", "left_semi").select(F.col("owner").alias("release")).distinct()
+    h = past(spark, sf_dir)
+    return ownership(h).join(h.rows.where(F.expr("k % 17 in (3, 5)")).select("sha"), "sha", "left_semi").select(F.col("owner").alias("release")).distinct()
 
 
 @query("commits", "SELECT release, repo, tag, commits, age FROM mined WHERE (repo % 2 = 0 AND tag = 'v3') OR (repo % 2 = 1 AND tag IN ('v1', 'v7'))", _MINED)
 def r17_releases_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(0, "v3"), (1, "v1"), (1, "v7")], "odd long, tag string")
-    found = mined_releases(commits(spark, sf_dir)).withColumn("odd", F.col("repo") % 2)
+    found = mined_releases(past(spark, sf_dir)).withColumn("odd", F.col("repo") % 2)
     return found.join(F.broadcast(names), ["odd", "tag"]).select("release", "repo", "tag", "commits", "age")
 
 
 @query("commits", "SELECT b.repo, t.sha AS release FROM ends a JOIN ends b ON a.repo = b.repo AND a.tag = 'v2' AND b.tag = 'v8' AND a.published < b.published JOIN tags t ON t.repo = b.repo AND t.published > a.published AND t.published <= b.published WHERE EXISTS (SELECT 1 FROM anc WHERE head = b.sha AND anc.sha = t.sha) AND EXISTS (SELECT 1 FROM anc WHERE head = b.sha AND anc.sha = a.sha)", f"{_ANC}, ends AS (SELECT repo, tag, min(published) AS published, arg_min(sha, published * 10000000 + sha) AS sha FROM tags GROUP BY ALL)")
 def r18_release_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Releases after v2 up to v8 of each repository that v8 reaches, where it reaches v2."""
-    rows = commits(spark, sf_dir)
-    found = tags(rows)
+    h = past(spark, sf_dir)
+    found = tags(h.rows)
     ends = distinct_tags(found)
-    side = lambda tag, to: ends.where(F.col("tag") == tag).select("repo", F.col("sha").alias(f"{to}_sha"), F.col("published").alias(to), F.col("pos").alias(f"{to}_pos"))
+    side = lambda tag, to: ends.where(F.col("tag") == tag).select("repo", F.col("sha").alias(f"{to}_sha"), F.col("published").alias(to))
     pairs = side("v2", "since").join(side("v8", "until"), "repo").where("since < until")
-    extent = graph.reach(rows, pairs.select(F.col("until_sha").alias("head"), F.col("until_sha").alias("sha"))).where("chain = 0").select(F.col("head").alias("until_sha"), "upto")
-    return pairs.join(extent, "until_sha").where("since_pos <= upto").join(found.select("repo", F.col("sha").alias("release"), "published", "pos"), "repo").where("published > since and published <= until and pos <= upto").select("repo", "release")
+    extent = dag.reach(h.graph, pairs.select(F.col("until_sha").alias("head"), F.col("until_sha").alias("sha"))).withColumnRenamed("head", "until_sha")
+    at = lambda c: h.graph.commits.select(F.col("sha").alias(c), "chain", "pos")
+    held = pairs.join(at("since_sha"), "since_sha").join(extent, ["until_sha", "chain"]).where("pos <= upto").select("repo", "until_sha", "since", "until")
+    within = held.join(found.select("repo", F.col("sha").alias("release"), "published"), "repo").where("published > since and published <= until")
+    return within.join(at("release"), "release").join(extent, ["until_sha", "chain"]).where("pos <= upto").select("repo", "release")
 
 
 @query("commits", "SELECT repo, arg_min(release, published * 10000000 + release) AS release FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY published, release) AS r FROM mined) GROUP BY 1 HAVING count(*) >= 3 AND min(CASE WHEN r = 1 THEN age END) >= 2 * median(CASE WHEN r > 1 THEN age END)", _MINED)
 def r19_outlier_first_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First releases far older than the median of the others (twice here, as the stand-in ages vary little)."""
     w = Window.partitionBy("repo").orderBy("published", "release")
-    ranked = mined_releases(commits(spark, sf_dir)).withColumn("r", F.row_number().over(w))
+    ranked = mined_releases(past(spark, sf_dir)).withColumn("r", F.row_number().over(w))
     cells = ranked.groupBy("repo").agg(F.count("*").alias("n"), F.min_by("release", "r").alias("release"), F.min_by("age", "r").alias("first"), F.median(F.when(F.col("r") > 1, F.col("age"))).alias("usual"))
     return cells.where("n >= 3 and first >= 2 * usual").select("repo", "release")
 
@@ -246,27 +271,27 @@ def r19_outlier_first_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("commits", "SELECT c.sha AS pr, o.owner AS release, greatest(t.published, c.started) AS released FROM commits c JOIN own o ON o.sha = c.sha JOIN tags t ON t.sha = o.owner WHERE c.is_merge AND c.chain = 0", _OWN)
 def r20_pull_requests_to_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each merged request goes to the release that owns its merge commit."""
-    return released_pulls(commits(spark, sf_dir)).select("pr", "release", "released")
+    return released_pulls(past(spark, sf_dir)).select("pr", "release", "released")
 
 
-def released_pulls(rows: DataFrame) -> DataFrame:
-    own, found = ownership(rows), tags(rows)
-    to = pulls(rows).join(own.select(F.col("sha").alias("pr"), F.col("owner").alias("release")), "pr")
+def released_pulls(h: graph.History) -> DataFrame:
+    own, found = ownership(h), tags(h.rows)
+    to = pulls(h.rows).join(own.select(F.col("sha").alias("pr"), F.col("owner").alias("release")), "pr")
     return to.join(found.select(F.col("sha").alias("release"), "published"), "release").withColumn("released", F.greatest("published", "merged"))
 
 
 @query("commits", "SELECT c.sha AS pr, o.owner AS release FROM commits c JOIN own o ON o.sha = c.sha JOIN tags t ON t.sha = o.owner, (SELECT max(started) - 864000 AS since FROM commits) WHERE c.is_merge AND c.chain = 0 AND c.started < since AND t.published >= since", _OWN)
 def r21_released_later(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests merged before the window (the last ten days) and released in it."""
-    rows = commits(spark, sf_dir)
-    since = rows.agg((F.max("started") - SPAN).alias("since"))
-    return released_pulls(rows).join(F.broadcast(since), F.expr("merged < since and published >= since")).select("pr", "release")
+    h = past(spark, sf_dir)
+    since = h.rows.agg((F.max("started") - SPAN).alias("since"))
+    return released_pulls(h).join(F.broadcast(since), F.expr("merged < since and published >= since")).select("pr", "release")
 
 
 @query("commits", "SELECT repo, arg_min(name, CASE WHEN name = 'master' THEN 0 WHEN name = 'main' THEN 1 ELSE 2 END * 1000000000000 - last) AS default_branch FROM (SELECT repo, CASE WHEN chain = 0 AND repo % 3 = 0 THEN 'master' WHEN chain = 0 AND repo % 3 = 1 THEN 'main' WHEN chain = 0 THEN 'trunk' ELSE 'side' END AS name, max(started) AS last FROM commits GROUP BY ALL) GROUP BY 1")
 def r22_default_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """master, else main, else the branch with the newest head."""
-    name = F.expr("case when chain = 0 and repo % 3 = 0 then 'master' when chain = 0 and repo % 3 = 1 then 'main' when chain = 0 then 'trunk' else 'side' end")
+    name = F.expr("case when branch = 0 and repo % 3 = 0 then 'master' when branch = 0 and repo % 3 = 1 then 'main' when branch = 0 then 'trunk' else 'side' end")
     branches = commits(spark, sf_dir).groupBy("repo", name.alias("name")).agg(F.max("started").alias("last"))
     first = F.when(F.col("name") == "master", 0).when(F.col("name") == "main", 1).otherwise(2)
     w = Window.partitionBy("repo").orderBy(first, F.desc("last"), "name")
@@ -282,53 +307,45 @@ _ROLL = "rolls AS (SELECT sha, repo, k % 3 AS env, started AS published, k, CASE
 _DEP = f"{_ROLL}, danc(head, sha) AS (SELECT sha, sha FROM rolls WHERE conclusion = 'SUCCESS' UNION SELECT head, parent FROM danc JOIN edges ON child = sha), down AS (SELECT r.env, a.sha, arg_min(a.head, r.published * 10000000 + r.sha) AS deployment FROM danc a JOIN rolls r ON r.sha = a.head GROUP BY ALL)"
 
 
-def deployed(rows: DataFrame) -> DataFrame:
+def deployed(h: graph.History) -> DataFrame:
     """(env, sha, deployment): the earliest successful deployment of each environment that reaches a commit."""
-    good = rollouts(rows).where("conclusion = 'SUCCESS'")
-    extent = graph.reach(rows, good.select(F.col("sha").alias("head"), "sha"))
-    ranked = extent.join(good.select(F.col("sha").alias("head"), "env", (F.col("published") * 10_000_000 + F.col("sha")).alias("rank")), "head")
-    marks = ranked.groupBy("env", "repo", "chain", F.col("upto").alias("pos")).agg(F.min(F.struct("rank", "head")).alias("mark"))
-    w = Window.partitionBy("env", "repo", "chain").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    # Between two marks every commit has the same owner, so ranges are joined instead of rows of each environment.
-    low = F.coalesce(F.lead("pos").over(Window.partitionBy("env", "repo", "chain").orderBy(F.desc("pos"))), F.lit(0))
-    spans = marks.withColumn("best", F.min("mark").over(w)).withColumn("low", low)
-    points = spans.select("env", "repo", "chain", F.explode(F.sequence(F.col("low") + 1, F.col("pos"))).alias("pos"), F.col("best.head").alias("deployment"))
-    return points.join(rows.select("repo", "chain", "pos", "sha"), ["repo", "chain", "pos"]).select("env", "repo", "sha", "deployment")
+    good = rollouts(h.rows).where("conclusion = 'SUCCESS'")
+    return dag.owners(h.graph, good.select("env", F.col("sha").alias("head"), "sha", (F.col("published") * 10_000_000 + F.col("sha")).alias("rank")), ["env"]).select("env", "sha", F.col("owner").alias("deployment"))
 
 
 @query("commits", "SELECT env, sha, deployment FROM down", _DEP)
 def d11_commits_of_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deployed(commits(spark, sf_dir)).select("env", "sha", "deployment")
+    return deployed(past(spark, sf_dir))
 
 
 @query("commits", "SELECT d.deployment, count(*) AS commits, count(CASE WHEN c.is_merge AND c.chain = 0 THEN 1 END) AS prs, CAST(sum(c.k) AS BIGINT) AS lines, count(DISTINCT c.k % 17) AS authors FROM down d JOIN commits c USING (sha) GROUP BY 1", _DEP)
 def d12_deployment_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each successful deployment brings: commits, requests by merge commit, lines, authors."""
-    rows = commits(spark, sf_dir)
-    held = deployed(rows).join(rows.select("sha", "k", "is_merge", "chain"), "sha")
-    return held.groupBy("deployment").agg(F.count("*").alias("commits"), F.count(F.when(F.col("is_merge") & (F.col("chain") == 0), 1)).alias("prs"), F.sum("k").alias("lines"), F.countDistinct(F.col("k") % 17).alias("authors"))
+    h = past(spark, sf_dir)
+    held = deployed(h).join(h.rows.select("sha", "k", "is_merge", "branch"), "sha")
+    return held.groupBy("deployment").agg(F.count("*").alias("commits"), F.count(F.when(F.col("is_merge") & (F.col("branch") == 0), 1)).alias("prs"), F.sum("k").alias("lines"), F.countDistinct(F.col("k") % 17).alias("authors"))
 
 
 @query("commits", "SELECT t.sha AS release, d.env, d.deployment FROM tags t JOIN down d ON d.sha = t.sha", _DEP)
 def d13_releases_to_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = commits(spark, sf_dir)
-    return tags(rows).select("sha").join(deployed(rows), "sha").select(F.col("sha").alias("release"), "env", "deployment")
+    h = past(spark, sf_dir)
+    return tags(h.rows).select("sha").join(deployed(h), "sha").select(F.col("sha").alias("release"), "env", "deployment")
 
 
 @query("commits", "SELECT c.sha AS pr, d.env, min(r.published) AS deployed FROM commits c JOIN down d ON d.sha = c.sha JOIN rolls r ON r.sha = d.deployment WHERE c.is_merge AND c.chain = 0 AND r.published >= c.started GROUP BY ALL", _DEP)
 def p43_first_deployment_per_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per request and environment, when its first successful deployment was; not before the merge."""
-    rows = commits(spark, sf_dir)
-    when = rollouts(rows).select(F.col("sha").alias("deployment"), F.col("published").alias("deployed"))
-    return pulls(rows).select(F.col("pr").alias("sha"), "merged").join(deployed(rows), "sha").join(when, "deployment").where("deployed >= merged").groupBy(F.col("sha").alias("pr"), "env").agg(F.min("deployed").alias("deployed"))
+    h = past(spark, sf_dir)
+    when = rollouts(h.rows).select(F.col("sha").alias("deployment"), F.col("published").alias("deployed"))
+    return pulls(h.rows).select(F.col("pr").alias("sha"), "merged").join(deployed(h), "sha").join(when, "deployment").where("deployed >= merged").groupBy(F.col("sha").alias("pr"), "env").agg(F.min("deployed").alias("deployed"))
 
 
 @query("commits", "SELECT c.sha AS pr, e.env FROM commits c JOIN (SELECT DISTINCT repo, env FROM rolls) e ON e.repo = c.repo WHERE c.is_merge AND c.chain = 0 AND NOT EXISTS (SELECT 1 FROM down d WHERE d.sha = c.sha AND d.env = e.env)", _DEP)
 def p46_deployment_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged requests of repositories that deploy to an environment, not deployed there."""
-    rows = commits(spark, sf_dir)
-    where = rollouts(rows).select("repo", "env").distinct()
-    return pulls(rows).select(F.col("pr").alias("sha"), "repo").join(where, "repo").join(deployed(rows).select("sha", "env"), ["sha", "env"], "left_anti").select(F.col("sha").alias("pr"), "env")
+    h = past(spark, sf_dir)
+    where = rollouts(h.rows).select("repo", "env").distinct()
+    return pulls(h.rows).select(F.col("pr").alias("sha"), "repo").join(where, "repo").join(deployed(h).select("sha", "env"), ["sha", "env"], "left_anti").select(F.col("sha").alias("pr"), "env")
 
 
 @query("commits", "SELECT r.sha AS deployment FROM rolls r WHERE r.published >= (SELECT max(started) - 864000 FROM commits) AND env IN (0, 2) AND conclusion <> 'CANCELLED' AND k % 7 <> 0", _ROLL)
@@ -376,7 +393,7 @@ def d18_repeated_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits of the main chain deployed with success more than once in an environment: a deployment takes the newest main commit at its time, by a running maximum."""
     rows = commits(spark, sf_dir)
     w = Window.partitionBy("repo").orderBy("started").rangeBetween(Window.unboundedPreceding, 0)
-    newest = F.max(F.when(F.col("chain") == 0, F.struct("started", F.col("sha").alias("id")))).over(w)
+    newest = F.max(F.when(F.col("branch") == 0, F.struct("started", F.col("sha").alias("id")))).over(w)
     taken = rows.withColumn("newest", newest.getField("id")).select("sha", "newest")
     good = rollouts(rows).where("conclusion = 'SUCCESS'").join(taken, "sha").where("newest is not null")
     return good.groupBy("env", "repo", F.col("newest").alias("sha")).agg(F.count("*").alias("n")).where("n > 1")

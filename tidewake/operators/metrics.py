@@ -93,10 +93,10 @@ _register("d02_dep_duration", **{n: Metric("deployments", "mean", f"CASE WHEN {c
 _register("d05_dep_size", **{f"avg_{x}": Metric("deployments", "average", x, "finished") for x in ("prs", "commits", "lines")})
 _register("d06_dep_sums", **{f"sum_{x}": Metric("deployments", "sum", x, "finished") for x in ("prs", "commits", "lines")})
 _counts("j01_jira_raised", "issues", "1 = 1", "created")
-_RESOLUTION = "CASE WHEN prs_began IS NOT NULL THEN CASE WHEN prs_released IS NOT NULL AND resolved IS NOT NULL THEN greatest(prs_released, resolved) END ELSE resolved END"
-_counts("j02_jira_resolved", "issues", "1 = 1", _RESOLUTION)
-_LIFE = f"{_RESOLUTION} - least(created, prs_began)"
-_LEAD = f"{_RESOLUTION} - least(work_began, prs_began)"
+RESOLUTION = "CASE WHEN prs_began IS NOT NULL THEN CASE WHEN prs_released IS NOT NULL AND resolved IS NOT NULL THEN greatest(prs_released, resolved) END ELSE resolved END"
+_counts("j02_jira_resolved", "issues", "1 = 1", RESOLUTION)
+_LIFE = f"{RESOLUTION} - least(created, prs_began)"
+_LEAD = f"{RESOLUTION} - least(work_began, prs_began)"
 _ACK = "CASE WHEN category <> 'To Do' THEN least(work_began, prs_began) END"
 _register("j05_jira_life_time", value=Metric("issues", "mean", _LIFE, "resolved"), below=Metric("issues", "share", _LIFE, "resolved", 5 * DAY))
 _register("j06_jira_lead_time", value=Metric("issues", "mean", _LEAD, "resolved"), below=Metric("issues", "share", _LEAD, "resolved", 5 * DAY))
@@ -110,7 +110,6 @@ _counts("v03_dev_releases", "actions", "topic = 'purchase'", "started")
 _register("v04_dev_reviews", **{n: Metric("actions", "count", f"CASE WHEN topic = 'view' AND {c} THEN 1 END", "started") for n, c in (("every", "1 = 1"), ("approvals", "lines % 3 = 0"), ("rejections", "lines % 3 = 1"), ("neutrals", "lines % 3 = 2"))})
 _register("v06_dev_comments", every=Metric("actions", "count", "CASE WHEN topic IN ('error', 'view') THEN 1 END", "started"), regular=Metric("actions", "count", "CASE WHEN topic = 'error' THEN 1 END", "started"))
 _register("v08_dev_active0", value=Metric("actions", "max", "CASE WHEN topic = 'click' THEN 1 ELSE 0 END", "started"))
-_register("v09_dev_worked", value=Metric("actions", "sum", "CASE WHEN topic IN ('click', 'view', 'signup') THEN 1 END", "started"))
 
 
 #: Kinds whose empty cells are 0; the others don't exist there.

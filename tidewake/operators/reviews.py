@@ -66,10 +66,10 @@ def p48_pr_cycle_deployment_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("grp", "idx", total.alias("value")).where("value is not null")
 
 
-@query("prs", "SELECT node_id, count(DISTINCT epoch(l_shipdate) // 86400) AS days, CAST(min(epoch(l_shipdate) // 86400) AS BIGINT) AS first_day, CAST(max(epoch(l_shipdate) // 86400) AS BIGINT) AS last_day FROM prs JOIN lineitem ON l_orderkey = node_id AND l_shipdate >= o_orderdate GROUP BY 1")
+@query("prs", "SELECT node_id, count(DISTINCT d) AS days, min(d) AS first_day, max(d) AS last_day FROM (SELECT node_id, CAST(epoch(l_shipdate) AS BIGINT) // 86400 AS d FROM prs JOIN lineitem ON l_orderkey = node_id AND l_shipdate >= o_orderdate UNION SELECT node_id, created // 86400 FROM prs UNION SELECT node_id, closed // 86400 FROM prs WHERE closed IS NOT NULL UNION SELECT node_id, released // 86400 FROM prs WHERE released IS NOT NULL) GROUP BY 1")
 def f04_activity_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct days on which anything happened to a request."""
-    rows = facts(spark, sf_dir, "prs").where("size(activity_days) > 0")
+    """Distinct days on which anything happened to a request: its commits, reviews and comments, and its creation, close and release."""
+    rows = facts(spark, sf_dir, "prs")
     return rows.select("node_id", F.size("activity_days").cast("long").alias("days"), F.element_at("activity_days", 1).alias("first_day"), F.element_at("activity_days", -1).alias("last_day"))
 
 

@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 
 
-def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of lifecycle times per pull request: children are pre-aggregated per request, then joined once."""
+def pull_requests(spark: SparkSession, sf_dir: str, until: str | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """One row of lifecycle times per pull request: children are pre-aggregated per request, then joined once.
+
+    until: as known before that date; keys: (node_id) of the requests wanted, whose rows alone are read on.
+    """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if until:
+        lines, orders = lines.where(F.col("l_shipdate") < F.lit(until).cast("date")), orders.where(F.col("o_orderdate") < F.lit(until).cast("date"))
+    if keys is not None:
+        lines, orders = lines.join(keys.select(F.col("node_id").alias("l_orderkey")), "l_orderkey", "left_semi"), orders.join(keys.select(F.col("node_id").alias("o_orderkey")), "o_orderkey", "left_semi")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     repo = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     at = lambda flag: F.when(F.col("l_returnflag") == flag, F.unix_seconds("l_shipdate"))
@@ -39,10 +46,21 @@ def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = F.date_trunc("quarter", F.timestamp_seconds("merged"))
     facts = facts.withColumn("released", F.unix_seconds(F.add_months(quarter, 3).cast("timestamp")))
     facts = facts.withColumn("deployed", F.when(F.col("node_id") % 4 != 0, F.col("released") + (F.col("node_id") % 10) * 86400 - (F.col("node_id") % 3) * 43200)).withColumn("env", F.col("node_id") % 3)
+    ends = F.transform(F.array("created", "closed", "released"), lambda t: F.floor(t / 86400))
+    facts = facts.withColumn("activity_days", F.array_sort(F.array_distinct(F.concat("activity_days", F.array_compact(ends)))))
     facts = facts.withColumn("done", F.col("released").isNotNull() | (F.col("closed").isNotNull() & F.col("merged").isNull()))
     return facts.join(repo.select(F.col("c_custkey").alias("author"), F.col("n_name").alias("grp"), F.col("n_regionkey").alias("region")), "author")
 
 
+def request_stamps(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+    """(node_id, stamp): a number that changes with what is known of a request, from four columns of its rows."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if until:
+        lines, orders = lines.where(F.col("l_shipdate") < F.lit(until).cast("date")), orders.where(F.col("o_orderdate") < F.lit(until).cast("date"))
+    known = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_shipdate").alias("last"))
+    return orders.join(known, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("node_id"), F.xxhash64("o_orderstatus", "n", "last").alias("stamp"))
+
+
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One release per repository and quarter; its age counts from the one before, the first one's from the first request."""
     prs = pull_requests(spark, sf_dir)
@@ -71,7 +89,7 @@ def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues with the times of the pull requests mapped to them; prs_released is null while any of them is unreleased."""
     prs = pull_requests(spark, sf_dir).select("node_id", "created", "first_commit", "closed", "released")
-    links = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_orderkey").alias("node_id")).distinct()
+    links = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity >= 40").select("l_partkey", F.col("l_orderkey").alias("node_id")).distinct()
     times = links.join(prs, "node_id").groupBy("l_partkey").agg(F.min("created").alias("prs_began"), F.min("first_commit").alias("began"), F.max("closed").alias("last_closed"), F.max("released").alias("last_released"), F.count("*").alias("prs_count"), F.count("released").alias("n_released"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     size = F.col("p_size")
@@ -87,10 +105,10 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as commits of a repository's two chains (see ``operators.graph``)."""
-    from ..operators.graph import chained_commits
+    """Events as commits of a repository's two branches (see ``operators.graph``)."""
+    from ..operators.graph import branched_commits
 
-    return chained_commits(_events(spark, sf_dir))
+    return branched_commits(_events(spark, sf_dir))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +140,11 @@ prs0 AS (SELECT o_orderkey AS node_id, o_custkey AS author, o_orderpriority AS l
   CAST(epoch(min(l_shipdate) FILTER (l_returnflag = 'N')) AS BIGINT) AS first_review_request, count(*) FILTER (l_returnflag = 'N') AS regular_comments,
   CAST(epoch(min(l_shipdate) FILTER (l_returnflag = 'R')) AS BIGINT) AS first_comment, CAST(epoch(max(l_shipdate) FILTER (l_returnflag = 'R')) AS BIGINT) AS last_review, count(*) FILTER (l_returnflag = 'R') AS n_reviews,
   CAST(epoch(max(l_shipdate) FILTER (l_returnflag = 'R' AND l_linestatus = 'O')) AS BIGINT) AS ok_review, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS n_rejections,
-  list(CAST(epoch(l_shipdate) AS BIGINT) ORDER BY l_shipdate) FILTER (l_returnflag = 'R') AS reviews, list_sort(list(DISTINCT epoch(l_shipdate) // 86400)) AS activity_days, max(l_shipdate) AS last_event, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS size, count(DISTINCT l_suppkey) + 1 AS participants, count(DISTINCT l_partkey) AS n_issues, o_orderdate
+  list(CAST(epoch(l_shipdate) AS BIGINT) ORDER BY l_shipdate) FILTER (l_returnflag = 'R') AS reviews, coalesce(list(DISTINCT CAST(epoch(l_shipdate) AS BIGINT) // 86400) FILTER (l_shipdate IS NOT NULL), []) AS line_days, max(l_shipdate) AS last_event, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS size, count(DISTINCT l_suppkey) + 1 AS participants, count(DISTINCT l_partkey) AS n_issues, o_orderdate
   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate GROUP BY ALL),
 prs1 AS (SELECT *, CASE WHEN status IN ('F', 'P') THEN coalesce(last_event, o_orderdate) END AS closed_ts, CASE WHEN status = 'F' THEN coalesce(last_event, o_orderdate) END AS merged_ts FROM prs0),
 prs2 AS (SELECT *, CAST(epoch(closed_ts) AS BIGINT) AS closed, CAST(epoch(merged_ts) AS BIGINT) AS merged, verdicts.approved, least(created, first_commit) AS work_began, CAST(epoch(date_trunc('quarter', merged_ts) + INTERVAL 3 MONTH) AS BIGINT) AS released FROM prs1 LEFT JOIN verdicts ON pr = node_id),
-prs AS (SELECT p.*, CASE WHEN node_id % 4 <> 0 THEN released + (node_id % 10) * 86400 - (node_id % 3) * 43200 END AS deployed, node_id % 3 AS env, released IS NOT NULL OR (closed IS NOT NULL AND merged IS NULL) AS done, n_name AS grp, n_regionkey AS region
+prs AS (SELECT p.*, CASE WHEN node_id % 4 <> 0 THEN released + (node_id % 10) * 86400 - (node_id % 3) * 43200 END AS deployed, node_id % 3 AS env, released IS NOT NULL OR (closed IS NOT NULL AND merged IS NULL) AS done, list_sort(list_distinct(list_concat(line_days, list_filter([created // 86400, closed // 86400, released // 86400], lambda d: d IS NOT NULL)))) AS activity_days, n_name AS grp, n_regionkey AS region
   FROM prs2 p JOIN customer ON c_custkey = author JOIN nation ON n_nationkey = c_nationkey)""",
     "releases": """releases AS (SELECT grp, published, prs, commits, lines, published - coalesce(lag(published) OVER (PARTITION BY grp ORDER BY published), oldest) AS age, CASE WHEN length(grp) % 2 = 0 THEN 'tag' ELSE 'branch' END AS matched_by
   FROM (SELECT grp, released AS published, count(*) AS prs, sum(n_commits) AS commits, sum(size) AS lines, min(created) AS oldest FROM prs WHERE released IS NOT NULL GROUP BY ALL))""",
@@ -136,7 +154,7 @@ prs AS (SELECT p.*, CASE WHEN node_id % 4 <> 0 THEN released + (node_id % 10) *
     "issues": """issues AS (SELECT p_partkey AS id, split_part(p_type, ' ', 1) AS grp, 694224000 + p_size * 86400 * 20 AS created, CASE WHEN p_size % 5 <> 0 THEN coalesce(began, 725846400 + p_size * 86400) END AS work_began, CASE WHEN p_size % 3 = 0 THEN coalesce(last_closed, 852076800 + p_size * 86400) END AS resolved,
   prs_began, CASE WHEN n_released = prs_count THEN last_released END AS prs_released, coalesce(prs_count, 0) AS prs_count, CASE p_size % 3 WHEN 0 THEN 'Done' WHEN 1 THEN 'In Progress' ELSE 'To Do' END AS category
   FROM part LEFT JOIN (SELECT l_partkey, min(created) AS prs_began, min(first_commit) AS began, max(closed) AS last_closed, max(released) AS last_released, count(*) AS prs_count, count(released) AS n_released
-  FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) JOIN prs ON node_id = l_orderkey GROUP BY 1) ON p_partkey = l_partkey)""",
+  FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 40) JOIN prs ON node_id = l_orderkey GROUP BY 1) ON p_partkey = l_partkey)""",
     "commits": """commits0 AS (SELECT event_id AS sha, user_id AS repo, event_type AS kind, started, k, k % 2 AS chain FROM ev),
 commits1 AS (SELECT *, lag(sha) OVER (PARTITION BY repo, chain ORDER BY started, sha) AS parent0, last_value(CASE WHEN chain = 0 THEN sha END IGNORE NULLS) OVER w AS before0, last_value(CASE WHEN chain = 1 THEN sha END IGNORE NULLS) OVER w AS before1 FROM commits0 WINDOW w AS (PARTITION BY repo ORDER BY started, sha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 commits AS (SELECT *, CASE WHEN kind = 'signup' THEN CASE chain WHEN 0 THEN before1 ELSE before0 END END AS parent1, kind = 'signup' AND CASE chain WHEN 0 THEN before1 ELSE before0 END IS NOT NULL AS is_merge FROM commits1),

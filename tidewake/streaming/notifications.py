@@ -15,11 +15,16 @@ GIVE_UP = 86400
 PAIRS = "suite long, name string, started timestamp, ended timestamp, status string"
 
 
-def ingest_once(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Each (repo, name) once within ``late`` of its event time ``ts``; a notification without a name gets one from its content."""
+def ingest_once(stream: DataFrame, late: str | None = None) -> DataFrame:
+    """Each (repo, name) once; a notification without a name gets one from its content.
+
+    Keys are known for good, in a state that grows with the notifications (kept on
+    disk by the RocksDB provider where the session names it). With ``late`` a key is
+    forgotten that long after its event time ``ts``.
+    """
     content = F.sha2(F.concat_ws("|", F.col("repo").cast("string"), F.col("kind"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), 256)
     named = stream.withColumn("name", F.coalesce("name", F.substring(content, 1, 12)))
-    return named.withWatermark("ts", late).dropDuplicatesWithinWatermark(["repo", "name"])
+    return named.dropDuplicates(["repo", "name"]) if late is None else named.withWatermark("ts", late).dropDuplicatesWithinWatermark(["repo", "name"])
 
 
 def day_counters(stream: DataFrame, late: str = "1 day") -> DataFrame:
@@ -28,12 +33,15 @@ def day_counters(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return days.select(F.col("w.start").alias("day"), "kind", "n")
 
 
-def resolve_references(notifications: DataFrame, commits: DataFrame, wait: str = "1 day") -> DataFrame:
-    """Notifications (repo, short, ts) with the commit (repo, sha, seen) that their short hash names, waited for ``wait`` on either side of ``ts``; a null sha once the watermarks say that none will come."""
+def resolve_references(notifications: DataFrame, commits: DataFrame, wait: str = "1 day", keep: list[str] | None = None, give: list[str] | None = None) -> DataFrame:
+    """Notifications (repo, short, ts) with the commit (repo, sha, seen) that their short hash names, waited for ``wait`` on either side of ``ts``; a null sha once the watermarks say that none will come.
+
+    keep, give: more columns of the notifications and of the commits to hand on.
+    """
     asked = notifications.withWatermark("ts", wait)
-    known = commits.select(F.col("repo").alias("of"), "sha", F.substring("sha", 1, 7).alias("head"), "seen").withWatermark("seen", wait)
+    known = commits.select(F.col("repo").alias("of"), "sha", F.substring("sha", 1, 7).alias("head"), "seen", *(give or [])).withWatermark("seen", wait)
     near = (F.col("seen") >= F.col("ts") - F.expr(f"INTERVAL {wait}")) & (F.col("seen") <= F.col("ts") + F.expr(f"INTERVAL {wait}"))
-    return asked.join(known, (F.col("repo") == F.col("of")) & (F.col("short") == F.col("head")) & near, "left_outer").select("repo", "short", "ts", "sha")
+    return asked.join(known, (F.col("repo") == F.col("of")) & (F.col("short") == F.col("head")) & near, "left_outer").select("repo", "short", "ts", "sha", *(keep or []), *(give or []))
 
 
 def keep_deployments(stream: DataFrame, path: str) -> DataStreamWriter:
