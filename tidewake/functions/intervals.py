@@ -65,17 +65,19 @@ def binned(facts: DataFrame, bounds: list[dt.date], time: str) -> DataFrame:
     """Facts with ``idx``, ``ts_from`` and ``ts_to`` of the interval that holds their event time; facts without one go. No join."""
     marks = [seconds(d) for d in bounds]
     at = F.array(*[F.lit(m) for m in marks])
-    rows = facts.withColumn("idx", bucket(F.expr(time).cast("bigint"), marks)).where("idx is not null")
+    # The time is a column of its own, as the tree names it at every comparison.
+    rows = facts.withColumn("tw_at", F.expr(time).cast("bigint")).withColumn("idx", bucket(F.col("tw_at"), marks)).where("idx is not null").drop("tw_at")
     return rows.withColumn("ts_from", F.element_at(at, F.col("idx") + 1)).withColumn("ts_to", F.element_at(at, F.col("idx") + 2))
 
 
 def spread(facts: DataFrame, bounds: list[dt.date], begin: str, end: str) -> DataFrame:
     """A row of ``facts`` for each interval from the one that holds ``begin`` to the one that holds ``end`` (null: still open), with ``idx``."""
     marks = [seconds(d) for d in bounds]
-    a, b, last = F.expr(begin), F.expr(end), len(marks) - 2
+    facts = facts.withColumn("tw_from", F.expr(begin).cast("bigint")).withColumn("tw_to", F.expr(end).cast("bigint"))
+    a, b, last = F.col("tw_from"), F.col("tw_to"), len(marks) - 2
     lo = F.when(a < marks[0], 0).otherwise(bucket(a, marks))
     hi = F.when(b.isNull() | (b >= marks[-1]), last).otherwise(bucket(b, marks))
-    rows = facts.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
+    rows = facts.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").drop("tw_from", "tw_to")
     return rows.withColumn("idx", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
 
 

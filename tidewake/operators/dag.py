@@ -112,14 +112,12 @@ def _least_from(points: DataFrame, marks: DataFrame, keys: list[str]) -> DataFra
     return both.select(*lanes, "pos", *[F.col(f"point.{n}").alias(n) for n in names], F.least("own", "later").alias("mark"))
 
 
-def owners(graph: Graph, heads: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, sha, chain, pos, owner, owner_rank): for each of the ``keys``, the earliest of its heads, by ``rank``, that reaches each commit. heads: (keys, head, sha, rank).
+def settled(graph: Graph, heads: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chain, pos, mark): where heads (keys, head, sha, rank) come upon each chain, with the least (rank, head) that does there.
 
     The least rank flows down chains and over crossings until nothing changes:
-    work grows with commits and crossings, not with heads times commits. Commits
-    that no head reaches are left out.
+    work grows with commits and crossings, not with heads times commits.
     """
-    keys = keys or []
     place = [*keys, "chain", "pos"]
     marks = heads.join(graph.commits, "sha").groupBy(*place).agg(F.min(F.struct(F.col("rank").cast("long").alias("rank"), "head")).alias("mark"))
     marks, told = checkpointed(marks), None
@@ -130,9 +128,42 @@ def owners(graph: Graph, heads: DataFrame, keys: list[str] | None = None) -> Dat
         if not _moved(new):
             break
         told, marks = found, checkpointed(marks.unionByName(new).groupBy(*place).agg(F.min("mark").alias("mark")))
+    return marks
+
+
+def owners(graph: Graph, heads: DataFrame, keys: list[str] | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """(keys, sha, chain, pos, owner, owner_rank): for each of the ``keys``, the earliest of its heads, by ``rank``, that reaches each commit. heads: (keys, head, sha, rank); marks: as ``settled`` gave them.
+
+    Commits that no head reaches are left out.
+    """
+    keys = keys or []
+    marks = settled(graph, heads, keys) if marks is None else marks
     return _least_from(graph.commits, marks, keys).where("mark is not null").select(*keys, "sha", "chain", "pos", F.col("mark.head").alias("owner"), F.col("mark.rank").alias("owner_rank"))
 
 
+def brought(graph: Graph, heads: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """(head, sha): the commits that each head reaches and that no settled head of its ``keys`` with a lesser rank does. heads: (keys, head, sha, rank); marks: as ``settled`` gave them.
+
+    A settled head reaches all of a chain below its mark, so the search stays above
+    the highest mark of a lesser rank and never goes down the history that is settled.
+    """
+    told = checkpointed(heads.select("head", "rank", *keys).distinct())
+    floors = marks.select(*keys, "chain", F.col("pos").alias("floor"), F.col("mark.rank").alias("before"))
+
+    def above(found: DataFrame) -> DataFrame:
+        lane = found.join(told, "head").join(floors, [*keys, "chain"], "left").groupBy("head", "chain", "upto").agg(F.max(F.when(F.col("before") < F.col("rank"), F.col("floor"))).alias("floor"))
+        return lane.select("head", "chain", "upto", F.coalesce("floor", F.lit(0).cast("long")).alias("floor")).where("upto > floor")
+
+    start = heads.join(graph.commits, "sha").groupBy("head", "chain").agg(F.max("pos").alias("upto"))
+    state = checkpointed(above(start).withColumn("low", F.col("floor")))
+    while _moved(state.where("low < upto")):
+        ahead = above(state.where("low < upto").join(graph.crossings, "chain").where("pos > low and pos <= upto").groupBy("head", F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("upto")))
+        both = state.select("head", "chain", "upto", "floor", F.col("upto").alias("known")).unionByName(ahead.withColumn("known", F.col("floor")))
+        state = checkpointed(both.groupBy("head", "chain", "floor").agg(F.max("upto").alias("upto"), F.max("known").alias("low")), state)
+    points = state.select("head", "chain", F.explode(F.sequence(F.col("floor") + 1, F.col("upto"))).alias("pos"))
+    return points.join(graph.commits, ["chain", "pos"]).select("head", "sha")
+
+
 def commits_of(graph: Graph, extent: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """(head, sha): the commits of an extent (head, chain, upto) that its head's ``stop`` extent doesn't hold."""
     spans = extent.withColumn("low", F.lit(0).cast("long"))

@@ -318,6 +318,16 @@ def d11_commits_of_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deployed(past(spark, sf_dir))
 
 
+@query("commits", "SELECT r.env, f.sha, f.head AS deployment FROM fanc f JOIN rolls r ON r.sha = f.head LEFT JOIN down d ON d.env = r.env AND d.sha = f.sha LEFT JOIN rolls o ON o.sha = d.deployment WHERE o.sha IS NULL OR o.published * 10000000 + o.sha > r.published * 10000000 + r.sha", _DEP + ", fanc(head, sha) AS (SELECT sha, sha FROM rolls WHERE conclusion <> 'SUCCESS' UNION SELECT head, parent FROM fanc JOIN edges ON child = sha)")
+def d11_commits_of_failed_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each deployment that didn't succeed would have brought: commits that no earlier success of its environment reaches."""
+    h = past(spark, sf_dir)
+    ranked = rollouts(h.rows).select("env", F.col("sha").alias("head"), "sha", (F.col("published") * 10_000_000 + F.col("sha")).alias("rank"), "conclusion")
+    marks = dag.settled(h.graph, ranked.where("conclusion = 'SUCCESS'").drop("conclusion"), ["env"])
+    failed = ranked.where("conclusion <> 'SUCCESS'").drop("conclusion")
+    return dag.brought(h.graph, failed, marks, ["env"]).join(failed.select("head", "env"), "head").select("env", "sha", F.col("head").alias("deployment"))
+
+
 @query("commits", "SELECT d.deployment, count(*) AS commits, count(CASE WHEN c.is_merge AND c.chain = 0 THEN 1 END) AS prs, CAST(sum(c.k) AS BIGINT) AS lines, count(DISTINCT c.k % 17) AS authors FROM down d JOIN commits c USING (sha) GROUP BY 1", _DEP)
 def d12_deployment_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each successful deployment brings: commits, requests by merge commit, lines, authors."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import facts, query
+from .history import _DEP, deployed, past, rollouts
 
 #: Seconds by which a rewritten commit may be older than the merge.
 SLACK = 10
@@ -61,3 +62,14 @@ def f14_revived_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _told(spark, sf_dir)
     asked = rows.where("is_merge and branch = 0").select(F.col("sha").alias("pr"), "number", "repo", F.col("committed").alias("merged"), F.col("sha").alias("merge_sha"), "message")
     return best_revived(revived(rows, asked))
+
+
+@query("commits", "SELECT d.env, pr, arg_min(deployment, published * 10000000 + deployment) AS deployment FROM (SELECT pr, pr AS sha FROM asked UNION SELECT pr, sha FROM (SELECT min(pr) AS pr, sha FROM (SELECT pr, arg_min(sha, committed * 10000000 + sha) AS sha FROM met GROUP BY pr) GROUP BY sha)) m JOIN down d USING (sha) JOIN rolls r ON r.sha = d.deployment GROUP BY ALL", _TOLD + ", " + _DEP)
+def d12_requests_of_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deployment that first brought each request to an environment, by its merge or by the commit that stands for it; a rewritten request that was deployed before is not counted again."""
+    asked = _told(spark, sf_dir).where("is_merge and branch = 0").select(F.col("sha").alias("pr"))
+    also = f14_revived_requests(spark, sf_dir)
+    h = past(spark, sf_dir)
+    when = rollouts(h.rows).select(F.col("sha").alias("deployment"), "published")
+    held = asked.select("pr", F.col("pr").alias("sha")).unionByName(also).join(deployed(h), "sha").join(when, "deployment")
+    return held.groupBy("env", "pr").agg(F.min_by("deployment", F.struct("published", "deployment")).alias("deployment"))
