@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.aggregates import cut_outliers
-from .functions.intervals import binned, bucket, interval_rows, spread, split
+from .functions.intervals import alive_sums, binned, bucket, interval_rows, spread, split
 from .operators.metrics import METRICS, SAMPLES, ZERO, Metric, compute
 from .plans import facts as plans
 
@@ -93,10 +93,13 @@ def flagship_nation_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALIVE = "created < ts_to AND (released >= ts_from OR closed >= ts_from OR closed IS NULL OR (merged < ts_from AND released IS NULL))"
 
 
+#: The end of a request's life; none while it is open, or merged and unreleased.
+_END = "CASE WHEN closed IS NOT NULL AND NOT (merged IS NOT NULL AND released IS NULL) THEN greatest(released, closed) END"
+
+
 def _alive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with each interval that their life overlaps: to the last one while open, or merged and unreleased."""
-    end = "CASE WHEN closed IS NOT NULL AND NOT (merged IS NOT NULL AND released IS NULL) THEN greatest(released, closed) END"
-    return spread(facts(spark, sf_dir, "prs"), steps("prs"), "created", end)
+    """Requests with each interval that their life overlaps."""
+    return spread(facts(spark, sf_dir, "prs"), steps("prs"), "created", _END)
 
 
 @query("prs", f"""SELECT grp, idx, count(*) AS alive, count(CASE WHEN n_issues > 0 THEN 1 END) AS mapped, round(avg(participants), 6) AS participants_per, round(avg(nullif(n_reviews, 0)), 6) AS reviews_per, round(avg(nullif(regular_comments + n_reviews, 0)), 6) AS comments_per,
@@ -105,13 +108,15 @@ def _alive(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(CASE WHEN NOT done AND merged IS NULL AND approved IS NULL AND first_review_request IS NOT NULL THEN 1 END) AS reviewing, count(CASE WHEN NOT done AND merged IS NULL AND approved IS NULL AND first_review_request IS NULL THEN 1 END) AS wip FROM prs JOIN steps ON {_ALIVE} GROUP BY ALL""")
 def p20_p36_p42_pr_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests whose life overlaps the quarter (P20) and what is counted over them: P36 stages, P37-P42."""
-    count = lambda c: F.count(F.when(F.expr(c), 1))
-    return _alive(spark, sf_dir).groupBy("grp", "idx").agg(
-        F.count("*").alias("alive"), count("n_issues > 0").alias("mapped"), F.round(F.avg("participants"), 6).alias("participants_per"), F.round(F.avg(F.expr("nullif(n_reviews, 0)")), 6).alias("reviews_per"), F.round(F.avg(F.expr("nullif(regular_comments + n_reviews, 0)")), 6).alias("comments_per"),
-        F.coalesce(F.round(F.avg(F.expr("CASE WHEN n_reviews >= 3 THEN 1D WHEN n_reviews > 0 THEN 0D END")), 9), F.lit(0.0)).alias("many_reviews"),
-        count("NOT done AND merged IS NOT NULL").alias("releasing"), count("NOT done AND merged IS NULL AND approved IS NOT NULL").alias("merging"),
-        count("NOT done AND merged IS NULL AND approved IS NULL AND first_review_request IS NOT NULL").alias("reviewing"), count("NOT done AND merged IS NULL AND approved IS NULL AND first_review_request IS NULL").alias("wip"),
-    )
+    flag = lambda c: F.when(F.expr(c), 1)
+    none = "NOT done AND merged IS NULL AND "
+    sums = alive_sums(facts(spark, sf_dir, "prs"), steps("prs"), "created", _END, ["grp"], {
+        "mapped": flag("n_issues > 0"), "participants": F.col("participants"), "reviews": F.col("n_reviews"), "reviewed": flag("n_reviews > 0"), "comments": F.expr("regular_comments + n_reviews"), "commented": flag("regular_comments + n_reviews > 0"), "many": flag("n_reviews >= 3"),
+        "releasing": flag("NOT done AND merged IS NOT NULL"), "merging": flag(f"{none} approved IS NOT NULL"), "reviewing": flag(f"{none} approved IS NULL AND first_review_request IS NOT NULL"), "wip": flag(f"{none} approved IS NULL AND first_review_request IS NULL"),
+    })
+    per = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6)
+    many = F.coalesce(F.round(F.when(F.col("reviewed") > 0, F.col("many") / F.col("reviewed")), 9), F.lit(0.0))
+    return sums.select("grp", "idx", "alive", "mapped", per("participants", "alive").alias("participants_per"), per("reviews", "reviewed").alias("reviews_per"), per("comments", "commented").alias("comments_per"), many.alias("many_reviews"), "releasing", "merging", "reviewing", "wip")
 
 
 @query("checks", """SELECT grp, idx, count(*) AS suites, count(pr) AS in_prs, count(CASE WHEN conclusion IN ('SUCCESS', 'NEUTRAL') THEN 1 END) AS successful, round(count(CASE WHEN conclusion IN ('SUCCESS', 'NEUTRAL') THEN 1 END) / count(*), 9) AS success_ratio, CAST(trunc(CAST(sum(e - f.started) AS DOUBLE) / count(*)) AS BIGINT) AS suite_time, round(avg(CASE WHEN n > 1 AND e > s THEN busy / (n * (e - s)) END), 6) AS occupancy

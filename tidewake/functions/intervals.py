@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,20 +65,42 @@ def binned(facts: DataFrame, bounds: list[dt.date], time: str) -> DataFrame:
     """Facts with ``idx``, ``ts_from`` and ``ts_to`` of the interval that holds their event time; facts without one go. No join."""
     marks = [seconds(d) for d in bounds]
     at = F.array(*[F.lit(m) for m in marks])
-    # The time is a column of its own, as the tree names it at every comparison.
-    rows = facts.withColumn("tw_at", F.expr(time).cast("bigint")).withColumn("idx", bucket(F.col("tw_at"), marks)).where("idx is not null").drop("tw_at")
+    # The time is a column of its own, as the tree names it at every comparison, and the filter is on it, not on the tree.
+    rows = facts.withColumn("tw_at", F.expr(time).cast("bigint")).where((F.col("tw_at") >= marks[0]) & (F.col("tw_at") < marks[-1])).withColumn("idx", bucket(F.col("tw_at"), marks)).drop("tw_at")
     return rows.withColumn("ts_from", F.element_at(at, F.col("idx") + 1)).withColumn("ts_to", F.element_at(at, F.col("idx") + 2))
 
 
+def _span(facts: DataFrame, bounds: list[dt.date], begin: str, end: str) -> DataFrame:
+    """``facts`` with the first and last interval, ``lo`` and ``hi``, of those from ``begin`` to ``end`` (null: still open); ``hi`` may lie before ``lo``."""
+    marks = [seconds(d) for d in bounds]
+    rows = facts.withColumn("tw_from", F.expr(begin).cast("bigint")).withColumn("tw_to", F.expr(end).cast("bigint"))
+    a, b = F.greatest(F.col("tw_from"), F.lit(marks[0])), F.coalesce(F.least(F.col("tw_to"), F.lit(marks[-1] - 1)), F.lit(marks[-1] - 1))
+    rows = rows.where((F.col("tw_from") < marks[-1]) & (F.col("tw_to").isNull() | (F.col("tw_to") >= marks[0])))
+    known = F.array(*[F.lit(m) for m in marks])
+    place = lambda t: F.size(F.filter(known, lambda m: m <= t)) - 1  # noqa: E731  a few steps a row; two trees of comparisons are too much code for one stage
+    return rows.withColumn("lo", place(a)).withColumn("hi", place(b)).drop("tw_from", "tw_to")
+
+
 def spread(facts: DataFrame, bounds: list[dt.date], begin: str, end: str) -> DataFrame:
     """A row of ``facts`` for each interval from the one that holds ``begin`` to the one that holds ``end`` (null: still open), with ``idx``."""
-    marks = [seconds(d) for d in bounds]
-    facts = facts.withColumn("tw_from", F.expr(begin).cast("bigint")).withColumn("tw_to", F.expr(end).cast("bigint"))
-    a, b, last = F.col("tw_from"), F.col("tw_to"), len(marks) - 2
-    lo = F.when(a < marks[0], 0).otherwise(bucket(a, marks))
-    hi = F.when(b.isNull() | (b >= marks[-1]), last).otherwise(bucket(b, marks))
-    rows = facts.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").drop("tw_from", "tw_to")
-    return rows.withColumn("idx", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+    rows = _span(facts, bounds, begin, end)
+    return rows.withColumn("idx", F.explode(F.when(F.col("lo") <= F.col("hi"), F.sequence("lo", "hi")))).drop("lo", "hi")
+
+
+def alive_sums(facts: DataFrame, bounds: list[dt.date], begin: str, end: str, groups: list[str], measures: dict[str, Column]) -> DataFrame:
+    """(groups, idx, measures): sums of the measures over the facts whose life overlaps an interval; only cells with such a fact.
+
+    A fact adds its measures in its first interval and takes them back after its
+    last, and a running sum over a group's intervals does the rest: two rows a fact
+    in one grouping, however long it lives. Measures are whole numbers, null as 0.
+    """
+    told = {"tw_n": F.lit(1), **measures}
+    rows = _span(facts, bounds, begin, end).select(*groups, "lo", "hi", *[F.coalesce(c.cast("bigint"), F.lit(0)).alias(n) for n, c in told.items()]).where("lo <= hi")
+    ends = rows.select(*groups, *told, F.explode(F.array(F.struct(F.col("lo").alias("idx"), F.lit(1).alias("sign")), F.struct((F.col("hi") + 1).alias("idx"), F.lit(-1).alias("sign")))).alias("e"))
+    steps = ends.groupBy(*groups, F.col("e.idx").alias("idx")).agg(*[F.sum(F.col(n) * F.col("e.sign")).alias(n) for n in told])
+    laid = dense(steps, len(bounds) - 1, tuple(groups), list(told))
+    upto = Window.partitionBy(*groups).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return laid.select(*groups, "idx", *[F.sum(n).over(upto).alias(n) for n in told]).where("tw_n > 0").withColumnRenamed("tw_n", "alive")
 
 
 def dense(cells: DataFrame, n: int, groups: tuple[str, ...], zero: list[str]) -> DataFrame:
