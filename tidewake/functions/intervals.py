@@ -77,7 +77,8 @@ def _span(facts: DataFrame, bounds: list[dt.date], begin: str, end: str) -> Data
     a, b = F.greatest(F.col("tw_from"), F.lit(marks[0])), F.coalesce(F.least(F.col("tw_to"), F.lit(marks[-1] - 1)), F.lit(marks[-1] - 1))
     rows = rows.where((F.col("tw_from") < marks[-1]) & (F.col("tw_to").isNull() | (F.col("tw_to") >= marks[0])))
     known = F.array(*[F.lit(m) for m in marks])
-    place = lambda t: F.size(F.filter(known, lambda m: m <= t)) - 1  # noqa: E731  a few steps a row; two trees of comparisons are too much code for one stage
+    # A few steps a row, as two trees of comparisons are too much code for one stage; the time is worked out once, as the element of an array.
+    place = lambda t: F.element_at(F.transform(F.array(t), lambda x: F.size(F.filter(known, lambda m: m <= x)) - 1), 1)
     return rows.withColumn("lo", place(a)).withColumn("hi", place(b)).drop("tw_from", "tw_to")
 
 
