@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder
+
 #: Bytes up to which a stored side may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 #: ASCII lower-casing only, as the word contracts ask.
@@ -21,14 +22,8 @@ _made: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Only where the cluster names none (local tests) a temporary folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidewake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; see ``shared_folder`` for a session that names none."""
+    base = shared_folder(spark)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     _made.append(path)
     return path
