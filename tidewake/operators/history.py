@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import facts, query
@@ -188,6 +188,39 @@ def r11_match_by_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("branch = 0").join(F.broadcast(end), F.expr(f"started >= end - {SPAN}")).select("sha", "repo", F.col("started").alias("published"))
 
 
+_BRANCHES = "heads AS (SELECT repo, chain, CASE WHEN chain = 0 AND repo % 3 = 0 THEN 'master' WHEN chain = 0 AND repo % 3 = 1 THEN 'main' WHEN chain = 0 THEN 'trunk' ELSE 'release-' || (repo % 4) END AS name, arg_max(sha, started * 10000000 + sha) AS sha FROM commits GROUP BY ALL)"
+
+
+def branches(h: graph.History) -> DataFrame:
+    """(repo, branch, name, sha): the branches of each repository with their heads."""
+    name = F.expr("case when branch = 0 and repo % 3 = 0 then 'master' when branch = 0 and repo % 3 = 1 then 'main' when branch = 0 then 'trunk' else concat('release-', repo % 4) end")
+    return h.rows.groupBy("repo", "branch", name.alias("name")).agg(F.max_by("sha", "n").alias("sha"))
+
+
+def releases_by_branch(h: graph.History, wanted: DataFrame, since: Column, until: Column) -> DataFrame:
+    """(sha, repo, published, author): commits that count as releases of the branches whose name matches their repository's pattern in full. wanted: (repo, pattern).
+
+    The walk down first parents from each matched head, and the merges of requests
+    into the branch, each commit once; those published from ``since`` to before
+    ``until``. Whoever committed is the author, but for a merge made on the site
+    (here k divisible by 4), whose author is the request's.
+    """
+    matched = branches(h).join(wanted, "repo").where(F.expr("name rlike concat('^(', pattern, ')$')"))
+    walk = dag.first_parents(h.graph, h.edges, matched.select(F.col("sha").alias("head"), "sha")).select("sha")
+    merges = h.rows.where("is_merge").join(matched.select("repo", "branch"), ["repo", "branch"], "left_semi").select("sha")
+    found = h.rows.join(walk.unionByName(merges).distinct(), "sha", "left_semi").withColumnRenamed("started", "published")
+    author = F.when(F.col("is_merge") & (F.col("k") % 4 == 0), F.col("k") % 13).otherwise(F.col("k") % 17)
+    return found.where((F.col("published") >= since) & (F.col("published") < until)).select("sha", "repo", "published", author.alias("author"))
+
+
+@query("commits", "SELECT DISTINCT c.sha, c.repo, c.started AS published, CASE WHEN c.is_merge AND c.k % 4 = 0 THEN c.k % 13 ELSE c.k % 17 END AS author FROM commits c WHERE (c.sha IN (SELECT sha FROM down_first) OR (c.is_merge AND EXISTS (SELECT 1 FROM picked p WHERE p.repo = c.repo AND p.chain = c.chain))) AND c.started >= 1704844800 AND c.started < 1706054400", _BRANCHES + ", picked AS (SELECT * FROM heads WHERE regexp_full_match(name, CASE repo % 2 WHEN 0 THEN 'ma(ster|in)|release-[0-2]' ELSE 'trunk|release-.*' END)), down_first(sha) AS (SELECT sha FROM picked UNION SELECT parent FROM down_first JOIN edges ON child = down_first.sha AND idx = 0)")
+def r11_releases_by_branch_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases by branch patterns, one a kind of repository, published in two weeks of January 2024."""
+    h = past(spark, sf_dir)
+    wanted = h.rows.select("repo").distinct().withColumn("pattern", F.when(F.col("repo") % 2 == 0, "ma(ster|in)|release-[0-2]").otherwise("trunk|release-.*"))
+    return releases_by_branch(h, wanted, F.lit(1704844800), F.lit(1706054400))
+
+
 @query("commits", "SELECT n.event_id AS notification, min(c.sha) AS sha FROM ev n JOIN commits c ON c.repo = n.user_id AND substr(md5(CAST(c.sha AS VARCHAR)), 1, 7) = substr(md5(CAST(n.event_id - n.event_id % 7 AS VARCHAR)), 1, 7) WHERE n.event_type = 'error' GROUP BY 1")
 def r12_releases_from_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pushed notifications that name a commit by a short hash, resolved in their repository."""
