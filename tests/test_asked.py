@@ -26,3 +26,14 @@ def test_ids_are_checked(spark):
         metrics_asked(rows, ["pr-nothing"], {}, {})
     with pytest.raises(ValueError, match="several kinds"):
         metrics_asked(rows, ["pr-opened", "dep-count"], {}, {})
+
+
+def test_facts_of_several_kinds_in_one_call(spark):
+    day = lambda d: int(dt.datetime(2020, 1, d, tzinfo=dt.UTC).timestamp())
+    prs = spark.createDataFrame([("a", day(1), day(3), None, None, day(1), 10), ("b", day(2), None, None, None, day(1), 30)], FACTS)
+    shipped = spark.createDataFrame([("a", day(2), day(4), "SUCCESS"), ("c", day(2), day(6), "FAILURE"), ("c", day(2), day(6), "CANCELLED")], "grp string, started long, finished long, conclusion string")
+    series = {"halves": [dt.date(2020, 1, 1), dt.date(2020, 1, 5), dt.date(2020, 1, 9)]}
+    got = {(r.metric, r["set"], r.idx): r.value for r in metrics_asked({"prs": prs, "deployments": shipped}, ["pr-opened", "dep-count", "pr-opened", "dep-duration-all"], series, {"ab": ["a", "b"], "ac": ["a", "c"]}).collect()}
+    assert got == {("pr-opened", "ab", 0): 2, ("pr-opened", "ac", 0): 1, ("dep-count", "ab", 0): 1, ("dep-duration-all", "ab", 0): 2 * 86400, ("dep-count", "ac", 0): 1, ("dep-duration-all", "ac", 0): 2 * 86400, ("dep-count", "ac", 1): 2, ("dep-duration-all", "ac", 1): 4 * 86400}
+    with pytest.raises(ValueError, match="no facts given for: issues"):
+        metrics_asked({"prs": prs}, ["pr-opened", "jira-raised"], series, {"ab": ["a"]})

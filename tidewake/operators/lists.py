@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import facts, query, steps
-from ..functions.intervals import binned, spread
+from ..functions.intervals import alive_sums, binned, interval_rows, split
 from .metrics import METRICS, SAMPLES, compute
 
 _STAGES = ("p01_pr_wip_time", "p04_pr_review_time", "p07_pr_merging_time", "p10_pr_release_time")
@@ -53,6 +55,39 @@ def c10_chk_latest_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.where(~F.col("ok")).groupBy("pr").agg(F.count("*").alias("failed_checks"))
 
 
+#: Weeks that the stand-in's checks lie in.
+_WEEKS = split("week", dt.date(2024, 1, 1), dt.date(2024, 2, 4))
+_WEEK_ROWS = "weeks(idx, ts_from, ts_to) AS (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, a, b in interval_rows(_WEEKS)) + ")"
+
+
+def merged_with_failed_checks(runs: DataFrame, requests: DataFrame, bounds: list[dt.date]) -> DataFrame:
+    """(grp, idx, merged_with_failed, merged_with_checks, failed_ratio): merged requests with checks whose life [created, closed] overlaps the interval.
+
+    runs: (pr, name, started, event_id, conclusion), null pr ignored; requests:
+    (node_id, grp, created, closed, merged), closed ones. A request failed if the
+    latest run of any of its checks did. Runs are reduced to a row a request before
+    they meet the requests, so a request of very many runs moves none of them.
+    """
+    last = runs.where("pr is not null").groupBy("pr", "name").agg(F.max_by("conclusion", F.struct("started", "event_id")).alias("conclusion"))
+    told = last.groupBy(F.col("pr").alias("node_id")).agg(F.coalesce(F.bool_or(F.col("conclusion") == "FAILURE"), F.lit(False)).alias("failed"))
+    checked = requests.where("merged is not null").join(told, "node_id")
+    cells = alive_sums(checked, bounds, "created", "closed", ["grp"], {"merged_with_failed": F.col("failed").cast("int")})
+    return cells.select("grp", "idx", "merged_with_failed", F.col("alive").alias("merged_with_checks"), F.round(F.col("merged_with_failed") / F.col("alive"), 9).alias("failed_ratio"))
+
+
+def stand_in_requests(runs: DataFrame) -> DataFrame:
+    """Requests of the check runs: created a day before their first run, closed at their last end, merged if their id isn't divisible by 5."""
+    own = runs.where("pr is not null").groupBy(F.col("pr").alias("node_id")).agg(F.min("grp").alias("grp"), (F.min("started") - 86400).alias("created"), F.max("completed").alias("closed"))
+    return own.withColumn("merged", F.when(F.col("node_id") % 5 != 0, F.col("closed")))
+
+
+@query("checks", "SELECT grp, idx, count(CASE WHEN node_id IN (SELECT pr FROM failing) THEN 1 END) AS merged_with_failed, count(*) AS merged_with_checks, round(count(CASE WHEN node_id IN (SELECT pr FROM failing) THEN 1 END) / count(*), 9) AS failed_ratio FROM requests JOIN weeks ON created < ts_to AND closed >= ts_from WHERE node_id % 5 <> 0 GROUP BY ALL", _WEEK_ROWS + ", requests AS (SELECT pr AS node_id, min(grp) AS grp, min(started) - 86400 AS created, max(completed) AS closed FROM checks WHERE pr IS NOT NULL GROUP BY 1), failing AS (SELECT DISTINCT pr FROM (SELECT pr, conclusion, row_number() OVER (PARTITION BY pr, name ORDER BY started DESC, event_id DESC) AS r FROM checks WHERE pr IS NOT NULL) WHERE r = 1 AND conclusion = 'FAILURE')")
+def c10_merged_with_failed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests merged although the latest run of a check failed, and their share of the merged requests with checks, by week."""
+    runs = facts(spark, sf_dir, "checks")
+    return merged_with_failed_checks(runs, stand_in_requests(runs), _WEEKS)
+
+
 @query("checks", "SELECT grp, round(avg(e - second), 6) AS imbalance FROM (SELECT grp, suite, max(completed) AS e, max(completed) FILTER (r = 2) AS second FROM (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY completed DESC, event_id) AS r FROM checks) GROUP BY ALL) WHERE second IS NOT NULL GROUP BY 1")
 def c16_chk_suite_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean distance of a suite's end from its second latest run's end."""
