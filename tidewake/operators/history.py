@@ -248,9 +248,9 @@ def r14_distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MINED = f"{_OWN}, mined AS (SELECT t.sha AS release, t.repo, t.tag, t.published, count(*) AS commits, count(DISTINCT c.k % 17) AS authors, CAST(sum(c.k) AS BIGINT) AS lines, count(CASE WHEN c.is_merge AND c.chain = 0 THEN 1 END) AS prs, t.published - coalesce(lag(t.published) OVER (PARTITION BY t.repo ORDER BY t.published, t.sha), min(c.started)) AS age FROM tags t JOIN own o ON o.owner = t.sha JOIN commits c ON c.sha = o.sha GROUP BY t.sha, t.repo, t.tag, t.published)"
 
 
-def mined_releases(h: graph.History) -> DataFrame:
+def mined_releases(h: graph.History, own: DataFrame | None = None) -> DataFrame:
     """Releases with what they own: commits, authors, lines, requests, age since the release before (the first: since its first commit)."""
-    own, rows = ownership(h).select("sha", "owner"), h.rows
+    own, rows = (ownership(h) if own is None else own).select("sha", "owner"), h.rows
     held = own.join(rows.select("sha", "k", "started", "is_merge", "branch"), "sha").groupBy(F.col("owner").alias("sha")).agg(
         F.count("*").alias("commits"), F.countDistinct(F.col("k") % 17).alias("authors"), F.sum("k").alias("lines"), F.count(F.when(F.col("is_merge") & (F.col("branch") == 0), 1)).alias("prs"), F.min("started").alias("began")
     )
@@ -307,8 +307,8 @@ def r20_pull_requests_to_releases(spark: SparkSession, sf_dir: str) -> DataFrame
     return released_pulls(past(spark, sf_dir)).select("pr", "release", "released")
 
 
-def released_pulls(h: graph.History) -> DataFrame:
-    own, found = ownership(h), tags(h.rows)
+def released_pulls(h: graph.History, own: DataFrame | None = None) -> DataFrame:
+    own, found = ownership(h) if own is None else own, tags(h.rows)
     to = pulls(h.rows).join(own.select(F.col("sha").alias("pr"), F.col("owner").alias("release")), "pr")
     return to.join(found.select(F.col("sha").alias("release"), "published"), "release").withColumn("released", F.greatest("published", "merged"))
 
