@@ -224,4 +224,4 @@ def e05_e07_group_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir, "prs").withColumn("lines_group", bucket(F.col("size"), [20, 50, 100, 150])).where("lines_group is not null").groupBy("lines_group", "grp").agg(F.count("*").alias("prs"))
 
 
-from .operators import asked, bootstrap, check_types, checks, groups, histograms, history, identities, lists, matching, outliers, people, predicates, rebased, records, reruns, reviews, stored, streams, tracker  # noqa: E402, F401  they register their queries
+from .operators import asked, bootstrap, check_types, checks, deployed, groups, histograms, history, identities, lists, matching, outliers, people, predicates, rebased, records, reruns, reviews, stored, streams, tracker  # noqa: E402, F401  they register their queries
