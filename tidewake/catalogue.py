@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 #: Quarters over the warehouse's dates, and weeks over the events'.
 QUARTERS = split("3 month", dt.date(1992, 1, 1), dt.date(2002, 12, 31))
 EVENT_SPANS = split("month", dt.date(2023, 1, 1), dt.date(2025, 12, 31))
-BOUNDS = {"prs": QUARTERS, "releases": QUARTERS, "issues": QUARTERS, "checks": EVENT_SPANS, "deployments": EVENT_SPANS, "actions": EVENT_SPANS, "commits": EVENT_SPANS}
+BOUNDS = {"prs": QUARTERS, "releases": QUARTERS, "issues": QUARTERS, "linked_issues": QUARTERS, "checks": EVENT_SPANS, "deployments": EVENT_SPANS, "actions": EVENT_SPANS, "commits": EVENT_SPANS}
 
 
 def facts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

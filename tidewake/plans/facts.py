@@ -86,10 +86,10 @@ def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "grp", (F.col("k") % 3).alias("env"), "started", (F.col("started") + F.col("seconds")).alias("finished"), conclusion.alias("conclusion"), (F.col("k") % 7 == 0).alias("failure_label"), (F.col("k") % 5).alias("prs"), (F.col("k") % 11).alias("commits"), F.col("k").alias("lines"), F.col("user_id").alias("repo"))
 
 
-def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues with the times of the pull requests mapped to them; prs_released is null while any of them is unreleased."""
+def issues(spark: SparkSession, sf_dir: str, links: str = "l_linenumber = 1 and l_quantity >= 40") -> DataFrame:
+    """Issues with the times of the pull requests mapped to them by ``links``; prs_released is null while any of them is unreleased."""
     prs = pull_requests(spark, sf_dir).select("node_id", "created", "first_commit", "closed", "released")
-    links = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity >= 40").select("l_partkey", F.col("l_orderkey").alias("node_id")).distinct()
+    links = table(spark, sf_dir, "lineitem").where(links).select("l_partkey", F.col("l_orderkey").alias("node_id")).distinct()
     times = links.join(prs, "node_id").groupBy("l_partkey").agg(F.min("created").alias("prs_began"), F.min("first_commit").alias("began"), F.max("closed").alias("last_closed"), F.max("released").alias("last_released"), F.count("*").alias("prs_count"), F.count("released").alias("n_released"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     size = F.col("p_size")
@@ -100,6 +100,11 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def linked_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues with all pull requests that name them."""
+    return issues(spark, sf_dir, "true")
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", "grp", "user_id", F.col("event_type").alias("topic"), "started", F.col("k").alias("lines"))
 
@@ -162,5 +167,6 @@ edges AS (SELECT sha AS child, parent0 AS parent, 0 AS idx FROM commits WHERE pa
 tags AS (SELECT sha, repo, started AS published, 'v' || (k // 10) AS tag, k FROM commits WHERE kind = 'purchase' AND chain = 0)""",
     "actions": """actions AS (SELECT event_id, grp, user_id, event_type AS topic, started, k AS lines FROM ev)""",
 }
-NEEDS = {"prs": ["prs"], "releases": ["prs", "releases"], "checks": ["ev", "checks"], "deployments": ["ev", "deployments"], "issues": ["prs", "issues"], "actions": ["ev", "actions"], "commits": ["ev", "commits"]}
-BUILD = {"prs": pull_requests, "releases": releases, "checks": check_runs, "deployments": deployments, "issues": issues, "actions": actions, "commits": commits, "lines": lines, "parts": parts, "regions": regions, "authors": authors, "reviewers": reviewers}
+SQL["linked_issues"] = SQL["issues"].replace("issues AS", "linked_issues AS", 1).replace(" WHERE l_linenumber = 1 AND l_quantity >= 40", "")
+NEEDS = {"linked_issues": ["prs", "linked_issues"], "prs": ["prs"], "releases": ["prs", "releases"], "checks": ["ev", "checks"], "deployments": ["ev", "deployments"], "issues": ["prs", "issues"], "actions": ["ev", "actions"], "commits": ["ev", "commits"]}
+BUILD = {"linked_issues": linked_issues, "prs": pull_requests, "releases": releases, "checks": check_runs, "deployments": deployments, "issues": issues, "actions": actions, "commits": commits, "lines": lines, "parts": parts, "regions": regions, "authors": authors, "reviewers": reviewers}
