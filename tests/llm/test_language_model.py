@@ -91,3 +91,11 @@ def test_every_row_is_scored_and_training_rows_alone_are_learned_from(spark):
     inside = [r for r in got if r.n_tokens == 61 and r.held_out]
     assert inside and sum(r.score - r.base_score for r in inside) > 0
     assert score_documents(df.limit(0)).count() == 0
+
+
+def test_the_net_tells_apart_a_thousand_words_and_keeps_its_state():
+    """Sizes that were halved for a budget."""
+    from tidewake.llm.language_model import CLASS_OF, HIDDEN, MEMBER_OF, NAMES, OWN
+
+    assert OWN == 992 and HIDDEN == 16
+    assert len(set(zip(CLASS_OF.tolist(), MEMBER_OF.tolist(), strict=True))) == NAMES
