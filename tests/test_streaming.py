@@ -59,3 +59,28 @@ def test_pending_checks_are_paired_or_given_up(spark, tmp_path):
     got = {r.suite: (str(r.started), r.ended and str(r.ended), r.status) for r in _run(spark, pending_with_completion(stream), "paired", "append").collect()}
     assert got[1] == ("2024-01-01 10:00:00", "2024-01-01 10:05:00", "SUCCESS") and got[3][2] == "FAILURE"
     assert got[2] == ("2024-01-01 10:00:00", None, "PENDING")
+
+
+def test_names_of_a_suite_are_paired_in_one_call():
+    import numpy as np
+    import pandas as pd
+
+    from tidewake.streaming.notifications import _pair
+
+    class State:
+        exists, get, removed = True, (["a", "b"], np.array([1_000_000, 2_000_000])), False
+
+        def getCurrentWatermarkMs(self):
+            return 86_402_000
+
+        def update(self, value):
+            self.get = value
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+    state = State()
+    rows = pd.DataFrame({"suite": 7, "name": ["c", "c", "b"], "ts": pd.to_datetime([90_000, 90_005, 90_000], unit="s"), "status": ["PENDING", "SUCCESS", "PENDING"]})
+    (got,) = _pair((7,), iter([rows]), state)
+    assert [(r.name, r.started.timestamp(), None if pd.isna(r.ended) else r.ended.timestamp(), r.status) for r in got[["suite", "name", "started", "ended", "status"]].itertuples(index=False)] == [("a", 1, None, "PENDING"), ("c", 90_000, 90_005, "SUCCESS")]
+    assert dict(zip(*state.get)) == {"b": 2_000_000} and state.timeout == 86_402_001

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState
 
 #: Seconds after which a pending check is given up.
 GIVE_UP = 86400
+#: A time that is null.
+_NEVER = np.iinfo(np.int64).min
 PAIRS = "suite long, name string, started timestamp, ended timestamp, status string"
 
 
@@ -66,30 +69,38 @@ def repaired_deployments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    suite, name = key
-    begun = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+    (suite,) = key
+    begun = dict(zip(*state.get, strict=True)) if state.exists else {}
+    was = dict(begun)
+    rows = [r for b in batches for r in zip(b["ts"].astype("datetime64[us]").astype("int64").tolist(), b["status"].tolist(), b["name"].tolist(), strict=True)]
+    came = {name for _, _, name in rows}
     out: list[tuple] = []
-    if state.hasTimedOut:
-        out.append((suite, name, begun, None, "PENDING"))
-        state.remove()
-        begun = None
-    rows = [r for b in batches for r in zip(b["ts"], b["status"], strict=True)]
-    for ts, status in sorted(rows):
+    for name, at in was.items():
+        if name not in came and at // 1000 + GIVE_UP * 1000 <= state.getCurrentWatermarkMs():
+            out.append((name, begun.pop(name), _NEVER, "PENDING"))
+    for ts, status, name in sorted(rows, key=lambda r: r[:2]):
         if status == "PENDING":
-            begun = ts if begun is None else begun
+            begun.setdefault(name, ts)
         else:
-            late = begun is not None and (ts - begun).total_seconds() > GIVE_UP
-            out.append((suite, name, ts if begun is None else begun, None if late else ts, status))
-            begun = None
-    if begun is not None:
-        state.update((int(begun.value // 1000),))
-        state.setTimeoutTimestamp(max(int(begun.value // 1_000_000) + GIVE_UP * 1000, state.getCurrentWatermarkMs() + 1))
+            first = begun.pop(name, None)
+            late = first is not None and ts - first > GIVE_UP * 1_000_000
+            out.append((name, ts if first is None else first, _NEVER if late else ts, status))
+    if begun:
+        if begun != was:
+            state.update((list(begun), list(begun.values())))
+        state.setTimeoutTimestamp(max(min(begun.values()) // 1000 + GIVE_UP * 1000, state.getCurrentWatermarkMs() + 1))
     elif state.exists:
         state.remove()
-    yield pd.DataFrame(out, columns=["suite", "name", "started", "ended", "status"]).astype({"started": "datetime64[ns]", "ended": "datetime64[ns]"})
+    if out:
+        names, started, ended, status = zip(*out, strict=True)
+        times = [np.array(c, np.int64).view("datetime64[us]").astype("datetime64[ns]") for c in (started, ended)]
+        yield pd.DataFrame({"suite": suite, "name": names, "started": times[0], "ended": times[1], "status": status})
 
 
 def pending_with_completion(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Pending statuses (suite, name, ts, status) joined to what ends them: one row from the pending one's time to the end's; no end beyond 24 hours, and a pending row alone when none came by then. State holds one time a key."""
-    keyed = stream.withWatermark("ts", late).groupBy("suite", "name")
-    return keyed.applyInPandasWithState(_pair, PAIRS, "begun long", "append", "EventTimeTimeout")
+    """Pending statuses (suite, name, ts, status) joined to what ends them: one row from the pending one's time to the end's; no end beyond 24 hours, and a pending row alone when none came by then.
+
+    State holds one time for each name of a suite that is pending; a suite's names are handed to Python at once.
+    """
+    keyed = stream.withWatermark("ts", late).groupBy("suite")
+    return keyed.applyInPandasWithState(_pair, PAIRS, "names array<string>, begun array<long>", "append", "EventTimeTimeout")
