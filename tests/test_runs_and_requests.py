@@ -1,5 +1,7 @@
 """Reruns, runs of several requests, rewritten merges, and the store of facts."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,31 @@ def test_new_labels_go_into_stored_facts(spark, tmp_path):
     got = {r.node_id: r.label for r in fact_store.read_store(spark, path).collect()}
     assert got == {i: {3: "x", 4: None}.get(i, f"l{i % 3}") for i in range(100)}
     assert before & set(spark.read.parquet(path).inputFiles())
+
+
+def test_a_rewrite_broken_off_between_two_places_loses_none(spark, tmp_path, monkeypatch):
+    path, now = str(tmp_path / "store"), facts(spark, 60).withColumn("stamp", F.col("stamp") + 1)
+    fact_store.create_store(facts(spark, 60), path)
+    finish = fact_store._finish
+    monkeypatch.setattr(fact_store, "_finish", lambda *_: None)
+    fact_store.refresh(spark, path, now, lambda keys: now.join(keys, "node_id", "left_semi"))
+    monkeypatch.undo()
+    first = spark.read.parquet(f"{path}/_pending").collect()[0]
+    assert first.full
+    place = f"state={first.state}/period={first.period}"
+    shutil.rmtree(f"{path}/{place}")
+    shutil.move(f"{first.staged}/{place}", f"{path}/{place}")
+    finish(spark, path)
+    assert content(fact_store.read_store(spark, path)) == content(fact_store.placed_facts(now))
+    assert not list(tmp_path.glob("store/_staged*"))
+
+
+def test_facts_are_not_shuffled_to_meet_their_repository(spark):
+    from tidewake.plans.facts import pull_requests
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pull_requests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("HashAggregate") < plan.index("Exchange")  # nothing is dealt anew above the grouping

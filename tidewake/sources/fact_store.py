@@ -9,9 +9,10 @@ recent months, whatever the size of the store.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .store import checkpointed
@@ -30,8 +31,11 @@ def placed_facts(facts: DataFrame) -> DataFrame:
 
 def create_store(facts: DataFrame, path: str) -> None:
     """Write a new store. facts: ``node_id``, ``stamp``, ``done``, ``merged``, ``released``, ``closed`` and more; rows of a partition are dealt over tasks by key."""
-    rows = placed_facts(facts)
-    rows.repartition(*PLACE, F.pmod(F.xxhash64(KEY), F.lit(8))).write.partitionBy(*PLACE).parquet(path)
+    _dealt(placed_facts(facts)).write.partitionBy(*PLACE).parquet(path)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*PLACE, F.pmod(F.xxhash64(KEY), F.lit(8)))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +63,9 @@ def refresh(spark: SparkSession, path: str, current: DataFrame, build: Callable[
         return changes
     fresh = checkpointed(placed_facts(build(changes.where("change <> 'gone'").select(KEY))))
     left = stored.select(KEY, *PLACE).join(changes.select(KEY), KEY, "left_semi").select(*PLACE)
-    _rewrite(spark, path, changes, fresh, left.unionByName(fresh.select(*PLACE)).distinct())
+    touched = checkpointed(left.unionByName(fresh.select(*PLACE)).distinct())
+    kept = stored.join(F.broadcast(touched), PLACE, "left_semi").join(changes.select(KEY), KEY, "left_anti")
+    _rewrite(spark, path, touched, kept.unionByName(fresh.select(*kept.columns)))
     return changes
 
 
@@ -69,42 +75,52 @@ def refresh_column(spark: SparkSession, path: str, name: str, values: DataFrame)
     own = stored.select(KEY, *PLACE, F.col(name).alias("was")).join(values.select(KEY, "value"), KEY).where(~F.col("was").eqNullSafe(F.col("value")))
     changes = checkpointed(own.select(KEY, "value", *PLACE))
     if not changes.isEmpty():
-        touched = changes.select(*PLACE).distinct()
-        fresh = stored.join(F.broadcast(touched), PLACE, "left_semi").join(changes.select(KEY, "value"), KEY).withColumn(name, F.col("value")).drop("value")
-        _rewrite(spark, path, changes, fresh.select(*stored.columns), touched)
+        touched = checkpointed(changes.select(*PLACE).distinct())
+        told = changes.select(KEY, F.struct("value").alias("told"))
+        rows = stored.join(F.broadcast(touched), PLACE, "left_semi").join(told, KEY, "left")
+        value = F.when(F.col("told").isNotNull(), F.col("told.value")).otherwise(F.col(name))
+        _rewrite(spark, path, touched, rows.withColumn(name, value).select(*stored.columns))
     return changes.select(KEY)
 
 
-def _rewrite(spark: SparkSession, path: str, changes: DataFrame, fresh: DataFrame, touched: DataFrame) -> None:
-    """Rewrite the ``touched`` partitions: what they held but the changed keys, and ``fresh``. Partitions are a few hundred months, so their list is small.
+def _rewrite(spark: SparkSession, path: str, touched: DataFrame, rows: DataFrame) -> None:
+    """Make ``rows`` all that the ``touched`` partitions hold. Partitions are a few hundred months, so their list is small.
 
-    The new content is staged whole and noted beside the store before a partition
-    is replaced, so a rewrite that is broken off is done again by the next reader.
+    The new content is staged whole, in the store's own layout, and noted beside the
+    store before a partition is replaced by its staged folder, so a rewrite that is
+    broken off is done again by the next reader, and no row is written twice.
     """
-    stored = spark.read.parquet(path).withColumn("period", F.col("period").cast("string"))
-    touched = checkpointed(touched)
-    kept = stored.join(F.broadcast(touched), PLACE, "left_semi").join(changes.select(KEY), KEY, "left_anti")
-    staged = checkpointed(kept.unionByName(fresh.select(*kept.columns)))
-    full = staged.groupBy(*PLACE).agg(F.count("*").alias("rows"))
-    noted = touched.join(full, PLACE, "left").withColumn("staged", F.lit(_folder(staged)))
-    noted.coalesce(1).write.mode("overwrite").parquet(f"{path}/{_PENDING}")
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    _dealt(rows).write.partitionBy(*PLACE).parquet(staged)
+    fs, at = _files(spark, path)
+    noted = [(r.state, r.period, staged, fs.exists(at(f"{staged}/{_place(r)}"))) for r in touched.collect()]
+    spark.createDataFrame(noted, "state string, period string, staged string, full boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/{_PENDING}")
     _finish(spark, path)
 
 
-def _folder(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _place(r: Row) -> str:
+    return f"state={r.state}/period={r.period}"
 
 
 def _finish(spark: SparkSession, path: str) -> None:
-    """Carry out the rewrite that is noted beside the store, if there is one; doing it twice does no harm."""
-    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    """Carry out the rewrite that is noted beside the store, if there is one; doing it twice does no harm, as a full place whose staged folder is gone was moved already."""
+    fs, at = _files(spark, path)
     if not fs.exists(at(f"{path}/{_PENDING}/_SUCCESS")):
         return
     noted = spark.read.parquet(f"{path}/{_PENDING}").collect()
-    content = spark.read.parquet(noted[0].staged)
-    content.repartition(*PLACE, F.pmod(F.xxhash64(KEY), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(path)
     for r in noted:
-        if r.rows is None:
-            fs.delete(at(f"{path}/state={r.state}/period={r.period}"), True)
+        new, old = at(f"{r.staged}/{_place(r)}"), at(f"{path}/{_place(r)}")
+        if not r.full or fs.exists(new):
+            fs.delete(old, True)
+        if fs.exists(new):
+            fs.mkdirs(old.getParent())
+            if not fs.rename(new, old):
+                raise OSError(f"{new} can't be renamed to {old}")
     fs.delete(at(f"{path}/{_PENDING}"), True)
+    for staged in {r.staged for r in noted}:
+        fs.delete(at(staged), True)
