@@ -146,7 +146,7 @@ def g08_tainted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     merges = h.edges.where("parent_index = 1").select("child")
     half = h.edges.where("parent_index = 0 and child % 149 = 0").join(merges, "child", "left_semi").select("child", "parent_index")
     lossy = h.edges.join(odd, "parent").select("child", F.when(~F.col("lost"), F.col("parent")).alias("parent"), "parent_index").join(half, ["child", "parent_index"], "left_anti")
-    return dag.tainted_edges(lossy)
+    return dag.tainted_edges(lossy, commits=h.rows.select("sha", F.col("repo").alias("near")))
 
 
 @query("commits", "SELECT root, sha AS child FROM up WHERE sha <> root", "partial AS (SELECT e.child, e.parent FROM edges e JOIN commits c ON c.sha = e.child WHERE c.k % 23 <> 0), up(root, sha) AS (SELECT DISTINCT parent, parent FROM partial WHERE parent NOT IN (SELECT child FROM partial) AND parent IN (SELECT child FROM edges) UNION SELECT root, child FROM up JOIN partial ON parent = sha)")
@@ -155,7 +155,7 @@ def g08_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = past(spark, sf_dir)
     partial = h.edges.join(h.rows.where("k % 23 <> 0").select(F.col("sha").alias("child")), "child", "left_semi")
     known = h.rows.select("sha").join(h.edges.select(F.col("child").alias("sha")), "sha", "left_anti")
-    return dag.orphans(partial, known)
+    return dag.orphans(partial, known, h.rows.select("sha", F.col("repo").alias("near")))
 
 
 _RULE = "CASE repo % 3 WHEN 0 THEN 'v[0-4]' WHEN 1 THEN 'v.*' ELSE '.*[13579]' END"
