@@ -37,6 +37,29 @@ def permutations(m: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(scaled @ pivots.T), axis=1, kind="stable")[:, :prefix]
 
 
+def posted(perm: np.ndarray, pivots: int) -> np.ndarray:
+    """The inverted files, one row a pivot: each vector's place of the pivot, or the length of the prefix where it has none."""
+    out = np.full((pivots, len(perm)), perm.shape[1], np.uint8 if perm.shape[1] < 256 else np.int32)
+    out[perm.T, np.arange(len(perm))] = np.arange(perm.shape[1])[:, None]
+    return out
+
+
+def gained(places: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How much below the largest footrule distance each vector is from a query whose nearest pivots are ``own``."""
+    seen = np.maximum(places[own], np.arange(len(own), dtype=places.dtype)[:, None])
+    return 2 * (len(own) ** 2 - seen.sum(axis=0, dtype=np.int32))
+
+
+def largest(weight: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the ``n`` largest, ties to the first, in rising order."""
+    if n >= len(weight):
+        return np.arange(len(weight))
+    least = np.partition(weight, len(weight) - n)[len(weight) - n]
+    above = weight > least
+    above[np.flatnonzero(weight == least)[: n - int(above.sum())]] = True
+    return np.flatnonzero(above)
+
+
 def nearest(table: DataFrame, k: int = 20, query_modulus: int = 20, vector: str = "embedding", key: str = "vec_id", n_pivots: int = 256, prefix: int = 64, rerank: int = 1200, share: float = 0.15) -> DataFrame:
     """(query_id, rank, vec_id, score): ``k`` nearest by inner product of each row whose id ``query_modulus`` divides.
 
@@ -72,20 +95,14 @@ def nearest(table: DataFrame, k: int = 20, query_modulus: int = 20, vector: str
         if len(q) and len(b):
             b = b.sort_values("vec_id")
             vb, vq, ids = np.array(b["v"].tolist()), np.array(q["v"].tolist()), b["vec_id"].to_numpy()
-            perm = permutations(vb, pivots, prefix)
-            order = np.argsort(perm.ravel(), kind="stable")
-            post, place = order // prefix, order % prefix
-            edge = np.searchsorted(perm.ravel()[order], np.arange(len(pivots) + 1))
+            places = posted(permutations(vb, pivots, prefix), len(pivots))
             length = np.linalg.norm(vb, axis=1)
             for qid, v, own in zip(q["vec_id"], vq, permutations(vq, pivots, prefix), strict=True):
-                gain = np.zeros(len(b), np.int32)  # how much below the largest footrule distance
-                for at, p in enumerate(own):
-                    s = slice(edge[p], edge[p + 1])
-                    gain[post[s]] += 2 * prefix - 2 * np.maximum(at, place[s]).astype(np.int32)
+                gain = gained(places, own)
                 mine = np.searchsorted(ids, qid)
                 if mine < len(ids) and ids[mine] == qid:
                     gain[mine] = -1
-                pick = np.argsort(-gain * length, kind="stable")[: max(rerank, int(np.ceil(share * len(b))))]
+                pick = largest(gain * length, max(rerank, int(np.ceil(share * len(b)))))
                 pick = pick[gain[pick] >= 0]
                 score = vb[pick] @ v
                 best = np.lexsort((ids[pick], -score))[:k]
